@@ -14,7 +14,6 @@ WHITESPACE = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-_GAP = f"[{WHITESPACE}]+"
 
 
 def lowered(value: Column) -> Column:
@@ -66,15 +65,23 @@ def keyword_match(
     return F.coalesce(text.cast("string"), F.lit("")).rlike("(?i)" + "|".join(parts))
 
 
+def tokens(text: Column) -> Column:
+    """Whitespace-separated tokens. Splitting on one plain blank needs no
+    regular expression, so other white space is turned into blanks first."""
+    blank = F.translate(
+        F.coalesce(text.cast("string"), F.lit("")), WHITESPACE[1:], " " * (len(WHITESPACE) - 1)
+    )
+    return F.array_remove(F.split(blank, " "), "")
+
+
 def token_entropy(text: Column) -> Column:
     """Shannon entropy in bits of the whitespace tokens; 0 without tokens.
 
-    Tokens are sorted and folded run by run, so the cost is n log n in the
-    number of tokens. With runs of length c among n tokens the entropy is
-    ``log2 n - sum(c log2 c) / n``.
+    With runs of length c among n tokens the entropy is
+    ``log2 n - sum(c log2 c) / n``. Most command lines repeat no token and need
+    no more than the first term; for the others the tokens are sorted and
+    folded run by run, so the cost stays n log n in the number of tokens.
     """
-    trimmed = stripped(text)
-    tokens = F.array_sort(F.split(trimmed, _GAP))
     zero = F.lit(0.0)
     start = F.struct(
         F.lit("").alias("token"),
@@ -104,9 +111,16 @@ def token_entropy(text: Column) -> Column:
         bits = F.log2(n) - (acc["weight"] + close(acc["run"])) / n
         return F.when(acc["runs"] > 1, bits).otherwise(zero)
 
-    return F.when(trimmed == "", zero).otherwise(
-        F.aggregate(tokens, start, step, finish)
-    )
+    def entropy(found: Column) -> Column:
+        count = F.size(found)
+        return (
+            F.when(count == 0, zero)
+            .when(F.size(F.array_distinct(found)) == count, F.log2(count))
+            .otherwise(F.aggregate(F.array_sort(found), start, step, finish))
+        )
+
+    # A one-element transform names the token list, which is used four times.
+    return F.element_at(F.transform(F.array(tokens(text)), entropy), 1)
 
 
 def short_command(text: Column, width: int) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from procsift.functions.topk import top_features
 from procsift.operators.forest import Forest, average_path, matrix_of
 from procsift.schema import NOT_FLAGGED
+from procsift.session import spread_small, store
 
 _ROWS = 256
 
@@ -99,12 +100,16 @@ def _prepared(forest: Forest) -> list[dict[str, np.ndarray]]:
 
 def _shapley(points: np.ndarray, prepared: list[dict[str, np.ndarray]]) -> np.ndarray:
     total = np.zeros_like(points)
-    for t in prepared:
-        values = points[:, t["feature"]]
-        held = ((values > t["low"]) & (values <= t["high"])).transpose(1, 0, 2).astype(float)
-        product = np.exp(np.matmul(held, t["log_gain"]) + t["log_unmet"][:, None, :])
-        parts = np.matmul(product, t["unmet"]) + held * np.matmul(product, t["gain"])
-        total += parts.transpose(1, 0, 2).reshape(len(points), -1) @ t["owner"]
+    for start in range(0, len(points), _ROWS):
+        part = points[start : start + _ROWS]
+        for t in prepared:
+            values = part[:, t["feature"]]
+            held = (values > t["low"]) & (values <= t["high"])
+            held = held.transpose(1, 0, 2).astype(float)
+            product = np.exp(np.matmul(held, t["log_gain"]) + t["log_unmet"][:, None, :])
+            parts = np.matmul(product, t["unmet"]) + held * np.matmul(product, t["gain"])
+            flat = parts.transpose(1, 0, 2).reshape(len(part), -1)
+            total[start : start + _ROWS] += flat @ t["owner"]
     return total / len(prepared)
 
 
@@ -123,14 +128,7 @@ def attributions(df: DataFrame, forest: Forest, name: str = "attribution") -> Da
     def shapley(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             points = matrix_of(columns)
-            # Equal rows are common among alerts: explain each vector once.
-            distinct, back = np.unique(points, axis=0, return_inverse=True)
-            parts = [
-                _shapley(distinct[i : i + _ROWS], prepared)
-                for i in range(0, len(distinct), _ROWS)
-            ]
-            values = np.concatenate(parts) if parts else np.zeros_like(points)
-            yield pd.Series(list(values[back.ravel()]))
+            yield pd.Series(list(_shapley(points, prepared)))
 
     inputs = [F.col(c).cast("double") for c in forest.features]
     return df.withColumn(name, shapley(*inputs))
@@ -142,8 +140,10 @@ def append_attributions(
     """Append the strongest features to the explanations of flagged rows.
 
     The flagged rows are filtered out first, because a Python function inside
-    ``when`` would run on every row; a union then needs no join back. Without
-    a model or the needed columns the frame comes back as it is.
+    ``when`` would run on every row; a union then needs no join back. They are
+    few (under the gate's quantile) and costly to explain, so they are stored:
+    nothing before this step runs twice. Without a model or the needed columns
+    the frame comes back as it is.
     """
     if forest is None or not {"explanation", "flagged"} <= set(gated.columns):
         return gated
@@ -153,8 +153,9 @@ def append_attributions(
         F.coalesce("explanation", F.lit(NOT_FLAGGED)) != NOT_FLAGGED
     )
     suffix = top_features(F.col("_attribution"), forest.features, top_k)
+    alerts = store(gated.where(flagged), "flagged")
     explained = (
-        attributions(gated.where(flagged), forest, "_attribution")
+        attributions(spread_small(alerts.df, alerts.rows), forest, "_attribution")
         .withColumn("explanation", F.concat("explanation", F.coalesce(suffix, F.lit(""))))
         .drop("_attribution")
     )

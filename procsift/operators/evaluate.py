@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -291,41 +292,55 @@ def feature_histograms(
 def feature_correlation(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, in long form.
 
-    One aggregate over one scan. A pair uses the rows where both are present;
-    a constant column gives null.
+    A pair uses the rows where both are present; a constant column gives null.
+    One pass takes counts and means, a second one sums the products of the
+    centred columns. A column without gaps needs its sums once; a gap in the
+    other column asks for sums over the rows that pair shares.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns]
+    shape = "feature_a string, feature_b string, correlation double"
+    spark = features.sparkSession
     if len(names) < 2:
-        return features.sparkSession.createDataFrame(
-            [], "feature_a string, feature_b string, correlation double"
-        )
-    numbers = features.select(*[F.col(c).cast("double").alias(c) for c in names])
-    nullable = {f.name for f in features.schema.fields if f.nullable and f.name in names}
-    aggregates, spreads = [], {}
-
-    def spread(a: str, b: str) -> str:
-        """Deviation of a over the rows where b is present too."""
-        key = (a, b if b in nullable and b != a else None)
-        if key not in spreads:
-            value = F.col(a) if key[1] is None else F.when(F.col(b).isNotNull(), F.col(a))
-            spreads[key] = f"s{len(spreads)}"
-            aggregates.append(F.stddev_pop(value).alias(spreads[key]))
-        return spreads[key]
+        return spark.createDataFrame([], shape)
+    numbers = features.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in names])
+    first = numbers.selectExpr(
+        "count(1) as _n",
+        *[f"count(`{c}`) as `n_{c}`" for c in names],
+        *[f"avg(`{c}`) as `m_{c}`" for c in names],
+    ).first()
+    centred = numbers.selectExpr(*[f"`{c}` - {first[f'm_{c}'] or 0.0!r}D as `{c}`" for c in names])
+    gaps = {c for c in names if first[f"n_{c}"] < first["_n"]}
+
+    sums: dict[tuple[str, ...], str] = {}
+
+    def within(kind: str, a: str, b: str) -> tuple[str, ...]:
+        """Key of a sum over a's column where b is present as well."""
+        key = (kind, a, b) if b in gaps and b != a else (kind, a)
+        term = {"n": "1D", "x": f"`{a}`", "xx": f"`{a}` * `{a}`"}[kind]
+        other = f" and `{b}` is not null" if len(key) == 3 else ""
+        sums[key] = f"sum(case when `{a}` is not null{other} then {term} end)"
+        return key
 
     pairs = [(a, a) for a in names] + list(combinations(names, 2))
+    needed = {}
+    for a, b in pairs:
+        sums["xy", a, b] = f"sum(`{a}` * `{b}`)"
+        ways = [(k, *ab) for k in ("x", "xx") for ab in ((a, b), (b, a))]
+        needed[a, b] = [within("n", a, b), *[within(*way) for way in ways]]
+    keys = list(sums)
+    row = centred.selectExpr(*[f"{sums[k]} as s{i}" for i, k in enumerate(keys)]).first()
+    value = {k: row[f"s{i}"] or 0.0 for i, k in enumerate(keys)}
+
     cells = []
-    for i, (a, b) in enumerate(pairs):
-        aggregates.append(F.covar_pop(a, b).alias(f"c{i}"))
-        r = F.try_divide(F.col(f"c{i}"), F.col(spread(a, b)) * F.col(spread(b, a)))
-        for left, right in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(
-                    F.lit(left).alias("feature_a"),
-                    F.lit(right).alias("feature_b"),
-                    r.alias("correlation"),
-                )
-            )
-    return numbers.agg(*aggregates).select(F.inline(F.array(*cells)))
+    for a, b in pairs:
+        n, xa, xb, xxa, xxb = (value[k] for k in needed[a, b])
+        together = None
+        if n > 0:
+            spread = (xxa - xa * xa / n) * (xxb - xb * xb / n)
+            if spread > 0:
+                together = (value["xy", a, b] - xa * xb / n) / math.sqrt(spread)
+        cells += [(x, y, together) for x, y in {(a, b), (b, a)}]
+    return spark.createDataFrame(cells, shape)
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from procsift.operators.quantiles import exact_quantiles
 from procsift.schema import FEATURES, TRACE_COLUMNS
-from procsift.session import store
+from procsift.session import spread_small, store
 from procsift.sources.artifacts import model_matrix, read_optional
 
 # The default settings of the detector.
@@ -71,6 +71,9 @@ def tree_samples(matrix: DataFrame, n: int, trees: int, size: int, seed: int) ->
         drawn = drawn.where(
             F.pmod("_draw", F.lit(_UNIT)) < F.lit(int(tree_rate * _UNIT))
         )
+    # A stated number of partitions: growing a tree costs far more than its few
+    # bytes suggest, so the partitions must not be merged by size.
+    drawn = drawn.repartition(max(1, trees // 4), "tree")
     order = Window.partitionBy("tree").orderBy(F.pmod("_draw", F.lit(_UNIT)), "event_id")
     return (
         drawn.withColumn("_place", F.row_number().over(order))
@@ -223,6 +226,7 @@ def fit_and_score(
     n = matrix.count()
     if n == 0:
         raise ValueError("no rows to fit")
+    matrix = spread_small(matrix, n)
     size = min(SAMPLE_SIZE if max_samples == "auto" else int(max_samples), n)
     limit = math.ceil(math.log2(max(size, 2)))
     samples = tree_samples(matrix, n, trees, size, seed)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procsift.operators.evaluate import class_counts
 from procsift.schema import FEATURES
+from procsift.session import spread_small
 
 # The settings of the importance model.
 TREES = 100
@@ -36,6 +37,7 @@ def rf_importance(
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names],
         F.col("is_attack").cast("double").alias("label"),
     )
+    matrix = spread_small(matrix, counts["positive"] + counts["negative"])
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(matrix)
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"

@@ -36,7 +36,7 @@ from procsift.operators.prep import (
     suspicious_match,
 )
 from procsift.schema import CORE_COLUMNS, FEATURES, RAW_FILES, TARGET_COLUMNS
-from procsift.session import scratch_path
+from procsift.session import scratch_path, store
 from procsift.sources import intake, rawlogs
 from procsift.sources.artifacts import model_matrix, threshold_config
 from procsift.sources.bridge import RAW_TEXT, process_events, process_view
@@ -136,13 +136,10 @@ def sysmon_event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_unified(kept, "sysmon").select("timestamp", "event_type", "pid", "target_image")
 
 
-def _write_raw(spark: SparkSession, sf_dir: str, label: str, files: int | None = None) -> str:
+def _write_raw(spark: SparkSession, sf_dir: str, label: str) -> str:
     folder = scratch_path(spark, label)
     for source, name in RAW_FILES.items():
-        lines = _raw(spark, sf_dir, source)
-        if files:
-            lines = lines.repartition(files)
-        lines.write.text(f"{folder}/{name}")
+        _raw(spark, sf_dir, source).write.text(f"{folder}/{name}")
     return folder
 
 
@@ -155,15 +152,14 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files through the incremental ingest, one file per batch."""
-    folder = _write_raw(spark, sf_dir, "stream-in", files=2)
+    """The same files through the incremental ingest."""
+    folder = _write_raw(spark, sf_dir, "stream-in")
     output = scratch_path(spark, "stream-out")
     running = start_ingest(
         spark,
         {s: f"{folder}/{name}" for s, name in RAW_FILES.items()},
         output,
         scratch_path(spark, "stream-checkpoint"),
-        max_files=1,
     )
     running.awaitTermination()
     return spark.read.parquet(output).select(*CORE_COLUMNS, *TARGET_COLUMNS)
@@ -290,6 +286,11 @@ def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(build_features(_prepped(spark, sf_dir)))
 
 
+def _stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table as the feature job leaves it, for several passes."""
+    return store(build_features(_prepped(spark, sf_dir)), "features").df
+
+
 @query
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's input: twelve doubles, missing as 0."""
@@ -320,12 +321,12 @@ def top_suspicious_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.feature_correlation(build_features(_prepped(spark, sf_dir))))
+    return _rounded(evaluate.feature_correlation(_stored_features(spark, sf_dir)))
 
 
 @query
 def feature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.feature_histograms(build_features(_prepped(spark, sf_dir))))
+    return _rounded(evaluate.feature_histograms(_stored_features(spark, sf_dir)))
 
 
 @query
@@ -338,7 +339,7 @@ def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.rf_importance(heuristic_labels(build_features(_prepped(spark, sf_dir))))
+    return importance.rf_importance(heuristic_labels(_stored_features(spark, sf_dir)))
 
 
 @query
@@ -350,7 +351,7 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline: features, forest, bands, gate, attributions."""
     prepped = _prepped(spark, sf_dir)
-    features = build_features(prepped)
+    features = store(build_features(prepped), "features").df
     model, scores = forest.fit_and_score(features)
     scored = forest.with_trace(scores, prepped)
     gated, _, _ = gating.gate(gating.merge_scored(scored, features))
@@ -363,7 +364,7 @@ def forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def attribution_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapley values of the rows the forest calls anomalous, in long form."""
-    features = build_features(_prepped(spark, sf_dir))
+    features = _stored_features(spark, sf_dir)
     model, scores = forest.fit_and_score(features)
     anomalous = scores.where("is_anomaly = 1").join(features, "event_id")
     values = attribution.attributions(anomalous, model, "values")
@@ -656,8 +657,9 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounds=bounds,
         threshold=bounds["High"],
     )
-    table = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
+    # A file stream wants a folder; the driver's table may be a single file.
+    table = store(spark.read.parquet(f"{sf_dir}/events.parquet"), "alerts-in")
+    events = spark.readStream.schema(table.df.schema).parquet(table.path)
     output = scratch_path(spark, "alerts")
     start_alerts(
         process_view(events),

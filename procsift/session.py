@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -100,3 +101,17 @@ def store(df: DataFrame, label: str) -> Stored:
         rows=int(metrics["rows"] or 0),
         bytes=int(metrics["bytes"] or 0),
     )
+
+
+SPREAD_ROWS = 2_000_000
+
+
+def spread_small(df: DataFrame, rows: int) -> DataFrame:
+    """Use every core for a costly step on a small table.
+
+    A small file is one input split and would be one task. A table beyond
+    ``SPREAD_ROWS`` has splits enough and is left as it is.
+    """
+    if rows > SPREAD_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -57,6 +57,16 @@ _XML_OPTIONS = {
 _CLOSING = r"</([\w.-]+:)?Event\s*>"
 
 
+def _once(lines: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """Add a parsed column through a one-row generator.
+
+    A filter on a projected column is pushed below it together with a copy of
+    the expression, so every line would be parsed twice. No filter passes a
+    generator.
+    """
+    return lines.select("*", F.explode_outer(F.array(parsed)).alias(name))
+
+
 def ndjson_lines(lines: DataFrame) -> DataFrame:
     """Parse JSON lines into the declared fields, all as text.
 
@@ -69,21 +79,23 @@ def ndjson_lines(lines: DataFrame) -> DataFrame:
     parsed = F.from_json(
         wrapped, f"array<struct<{record}>>", {"allowSingleQuotes": "false"}
     )
-    rows = lines.withColumn("_rows", parsed)
-    one = F.when(F.size("_rows") == 1, F.try_element_at("_rows", F.lit(1)))
-    rows = rows.withColumn("_row", one)
-    return rows.select(
-        "*",
-        F.col("_row").isNull().alias("malformed"),
-        *[F.col(f"_row.{f}").alias(f) for f in NDJSON_FIELDS],
-    ).drop("_rows", "_row")
+    one = F.when(F.size(parsed) == 1, F.try_element_at(parsed, F.lit(1)))
+    return (
+        _once(lines, one, "_row")
+        .select(
+            "*",
+            F.col("_row").isNull().alias("malformed"),
+            *[F.col(f"_row.{f}").alias(f) for f in NDJSON_FIELDS],
+        )
+        .drop("_row")
+    )
 
 
 def _xml_events(lines: DataFrame) -> DataFrame:
     event = F.from_xml(F.col("value"), _EVENT_XML, _XML_OPTIONS)
     text = F.trim("value")
     single = text.endswith(">") & (F.regexp_count(text, F.lit(_CLOSING)) <= 1)
-    return lines.withColumn("_event", event).withColumn(
+    return _once(lines, event, "_event").withColumn(
         "malformed",
         F.col("value").isNull() | F.col("_event._malformed").isNotNull() | ~single,
     )
