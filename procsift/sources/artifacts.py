@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsift.schema import FEATURES, RISK_QUANTILES, STRONG_INDICATOR_TEXT
 
 
+# An absent path raises the first, a broken footer the second.
+READ_ERRORS = (PySparkException, Py4JJavaError)
+
+
 def read_optional(spark: SparkSession, path: str | None) -> DataFrame | None:
     """A Parquet table, or none where the path is absent or unreadable."""
     if not path:
         return None
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except READ_ERRORS:
         return None
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from procsift.functions.ids import numeric_id
 from procsift.functions.times import parse_utc
 from procsift.operators.gating import add_risk_level
 from procsift.schema import INTAKE_COLUMNS
+from procsift.sources.artifacts import READ_ERRORS
 
 ALIASES = {"image": "process_image", "parent image": "parent_image"}
 
@@ -106,7 +106,7 @@ def read_intake(spark: SparkSession, path: str, *, multi_line: bool = True) -> I
             df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
         else:
             return Intake(None, "not a .csv or .parquet file")
-    except PySparkException as error:
+    except READ_ERRORS as error:
         return Intake(None, f"unreadable file: {type(error).__name__}")
     return check_events(df)
 
@@ -115,6 +115,6 @@ def read_gated(spark: SparkSession, path: str) -> DataFrame | None:
     """A stored result, normalised and filled; none where it cannot be read."""
     try:
         df = spark.read.parquet(path)
-    except PySparkException:
+    except READ_ERRORS:
         return None
     return fill_risk_and_flagged(rename_aliases(df))
