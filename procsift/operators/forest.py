@@ -161,8 +161,11 @@ class Forest:
         return feature, cut, length
 
 
-def matrix_of(columns: tuple[pd.Series, ...]) -> np.ndarray:
-    """The batch as a float matrix, missing values as 0."""
+def matrix_of(columns: tuple[pd.Series, ...] | pd.Series) -> np.ndarray:
+    """The batch as a float matrix, missing values as 0. A lone column comes
+    without its tuple."""
+    if isinstance(columns, pd.Series):
+        columns = (columns,)
     return np.nan_to_num(
         np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in columns])
     )
