@@ -22,8 +22,14 @@ def lowered(value: Column) -> Column:
 
 
 def stripped(value: Column) -> Column:
-    """Text without surrounding white space, null as empty."""
-    return F.btrim(F.coalesce(value.cast("string"), F.lit("")), F.lit(WHITESPACE))
+    """Text without surrounding white space, null as empty.
+
+    Most values have none, which two one-character looks tell.
+    """
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    blanks = F.lit(WHITESPACE)
+    padded = F.contains(blanks, F.left(text, F.lit(1))) | F.contains(blanks, F.right(text, F.lit(1)))
+    return F.when(padded, F.btrim(text, blanks)).otherwise(text)
 
 
 def base_name(path: Column, mode: str = "compat") -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,7 +248,7 @@ def feature_histograms(
     """Left-closed bins of the first features: ``min(50, max(10, distinct))``.
 
     A sketch tells which columns surely have 50 distinct values and more; only
-    the others are counted exactly, with few values per task.
+    the others are counted exactly, as sets that stay small.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns][:first]
     spread = _spread(features, names).first()
@@ -254,7 +256,7 @@ def feature_histograms(
         *[F.approx_count_distinct(F.col(c).cast("double")).alias(c) for c in names]
     ).first()
     few = [c for c in names if sketch[c] <= 200]
-    exact = features.agg(*[F.count_distinct(c).alias(c) for c in few]).first() if few else {}
+    exact = features.agg(*[F.size(F.collect_set(c)).alias(c) for c in few]).first() if few else {}
     entries = []
     shapes = []
     for i, c in enumerate(names):
@@ -267,79 +269,86 @@ def feature_histograms(
         entries.append(
             F.when(
                 value.isNotNull() & ~F.isnan(value),
-                F.struct(
-                    F.lit(c).alias("feature"),
-                    _left_closed_bin(value, low, high, bins).alias("bin"),
-                ),
+                (_left_closed_bin(value, low, high, bins) + F.lit(100 * i)).cast("int"),
             )
         )
         width = (high - low) / bins
-        shapes += [(c, b, low + (b - 1) * width, low + b * width) for b in range(1, bins + 1)]
-    shape = "feature string, bin bigint, lo double, hi double"
+        shapes += [
+            (100 * i + b, c, b, low + (b - 1) * width, low + b * width) for b in range(1, bins + 1)
+        ]
+    shape = "place int, feature string, bin bigint, lo double, hi double"
     every = features.sparkSession.createDataFrame(shapes, shape)
     if not entries:
-        return every.withColumn("n", F.lit(0).cast("bigint"))
+        return every.drop("place").withColumn("n", F.lit(0).cast("bigint"))
     counts = (
-        features.select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("feature", "bin")
+        features.select(F.explode(F.array(*entries)).alias("place"))
+        .where(F.col("place").isNotNull())
+        .groupBy("place")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return every.join(F.broadcast(counts), ["feature", "bin"], "left").select(
+    return every.join(F.broadcast(counts), "place", "left").select(
         "feature", "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
+def _pair_sums(numbers: DataFrame, means: list[float]) -> np.ndarray:
+    """Four tables of sums over the rows where both columns of a pair are
+    present: rows, x, x squared, x times y; all of centred values.
+
+    Each partition adds up small matrix products of its Arrow batches and
+    leaves one row.
+    """
+    k = len(means)
+    centre = np.array(means)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - centre
+            present = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total[0] += present.T @ present
+            total[1] += x.T @ present
+            total[2] += (x * x).T @ present
+            total[3] += x.T @ x
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    cells = (
+        numbers.mapInPandas(add_up, "sums array<double>")
+        .select(F.posexplode("sums").alias("cell", "part"))
+        .groupBy("cell")
+        .agg(F.sum("part").alias("total"))
+    )
+    result = np.zeros(4 * k * k)
+    for row in cells.collect():  # 4 k squared numbers
+        result[row["cell"]] = row["total"]
+    return result.reshape(4, k, k)
+
+
 def feature_correlation(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, in long form.
 
     A pair uses the rows where both are present; a constant column gives null.
-    One pass takes counts and means, a second one sums the products of the
-    centred columns. A column without gaps needs its sums once; a gap in the
-    other column asks for sums over the rows that pair shares.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns]
     shape = "feature_a string, feature_b string, correlation double"
     spark = features.sparkSession
     if len(names) < 2:
         return spark.createDataFrame([], shape)
-    numbers = features.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in names])
-    first = numbers.selectExpr(
-        "count(1) as _n",
-        *[f"count(`{c}`) as `n_{c}`" for c in names],
-        *[f"avg(`{c}`) as `m_{c}`" for c in names],
-    ).first()
-    centred = numbers.selectExpr(*[f"`{c}` - {first[f'm_{c}'] or 0.0!r}D as `{c}`" for c in names])
-    gaps = {c for c in names if first[f"n_{c}"] < first["_n"]}
-
-    sums: dict[tuple[str, ...], str] = {}
-
-    def within(kind: str, a: str, b: str) -> tuple[str, ...]:
-        """Key of a sum over a's column where b is present as well."""
-        key = (kind, a, b) if b in gaps and b != a else (kind, a)
-        term = {"n": "1D", "x": f"`{a}`", "xx": f"`{a}` * `{a}`"}[kind]
-        other = f" and `{b}` is not null" if len(key) == 3 else ""
-        sums[key] = f"sum(case when `{a}` is not null{other} then {term} end)"
-        return key
-
-    pairs = [(a, a) for a in names] + list(combinations(names, 2))
-    needed = {}
-    for a, b in pairs:
-        sums["xy", a, b] = f"sum(`{a}` * `{b}`)"
-        ways = [(k, *ab) for k in ("x", "xx") for ab in ((a, b), (b, a))]
-        needed[a, b] = [within("n", a, b), *[within(*way) for way in ways]]
-    keys = list(sums)
-    row = centred.selectExpr(*[f"{sums[k]} as s{i}" for i, k in enumerate(keys)]).first()
-    value = {k: row[f"s{i}"] or 0.0 for i, k in enumerate(keys)}
-
+    numbers = features.select(*[F.col(c).cast("double").alias(c) for c in names])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in names]).first()
+    n, x, xx, xy = _pair_sums(numbers, [m or 0.0 for m in means])
     cells = []
-    for a, b in pairs:
-        n, xa, xb, xxa, xxb = (value[k] for k in needed[a, b])
-        together = None
-        if n > 0:
-            spread = (xxa - xa * xa / n) * (xxb - xb * xb / n)
-            if spread > 0:
-                together = (value["xy", a, b] - xa * xb / n) / math.sqrt(spread)
-        cells += [(x, y, together) for x, y in {(a, b), (b, a)}]
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            together = None
+            if n[i, j] > 0:
+                left = xx[i, j] - x[i, j] ** 2 / n[i, j]
+                right = xx[j, i] - x[j, i] ** 2 / n[i, j]
+                if left > 0 and right > 0:
+                    shared = xy[i, j] - x[i, j] * x[j, i] / n[i, j]
+                    together = float(shared / math.sqrt(left * right))
+            cells.append((a, b, together))
     return spark.createDataFrame(cells, shape)
 
 

@@ -4,8 +4,8 @@ Three plans, picked by measured size, all with the same result:
 
 * the table was measured while it was written and is small: broadcast it, the
   events are not shuffled;
-* otherwise the values of the most frequent keys (a fixed number of them) are
-  broadcast, and only the remaining keys meet in a shuffle join. Events that
+* otherwise the values of the most frequent keys (a fixed number of them, none
+  with more than a kilobyte of text) are broadcast, and only the remaining keys meet in a shuffle join. Events that
   are already served, or have no key, are spread over all partitions by their
   row id, so no partition collects a hot key.
 """
@@ -16,11 +16,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from procsift.session import Stored
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 10_000
+HOT_TEXT_BYTES = 1024
 _SPREAD = 1 << 20
 
 
@@ -67,8 +69,11 @@ def lookup(
         frequency = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
         top = frequency.orderBy(F.desc("_w")).limit(limits.hot_keys)
         ranked = table.df.select(*wanted).join(F.broadcast(top), list(keys))
+    text = [f.name for f in ranked.schema.fields if isinstance(f.dataType, T.StringType)]
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(0))
     hot = (
-        ranked.orderBy(F.desc("_w"), *keys)
+        ranked.where(width <= HOT_TEXT_BYTES)
+        .orderBy(F.desc("_w"), *keys)
         .limit(limits.hot_keys)
         .drop("_w")
         .withColumnsRenamed({f"_v_{n}": f"_h_{n}" for n in values.values()})

@@ -92,17 +92,28 @@ def _narrow(data: DataFrame, large: dict[int, _Open]) -> dict[int, _Open | float
     """One sketch pass and one counting pass for all ranks."""
     if not large:
         return {}
-    sketches = []
+    # Ranks between the same two values share one sketch.
+    shared: dict[tuple[float, float], list[int]] = {}
     for r, o in large.items():
-        share = (r - o.upto) / max(o.rows - 1, 1)
-        around = [max(share - _MARGIN, 0.0), min(share + _MARGIN, 1.0)]
+        shared.setdefault((o.low, o.high), []).append(r)
+    sketches = []
+    for i, ranks in enumerate(shared.values()):
+        o = large[ranks[0]]
+        around = []
+        for r in ranks:
+            share = (r - o.upto) / max(o.rows - 1, 1)
+            around += [max(share - _MARGIN, 0.0), min(share + _MARGIN, 1.0)]
         inside = F.when(o.contains(F.col("v")), F.col("v"))
-        sketches.append(F.percentile_approx(inside, around, _SKETCH).alias(f"c{r}"))
-    cuts = data.agg(*sketches).first()
+        sketches.append(F.percentile_approx(inside, around, _SKETCH).alias(f"c{i}"))
+    row = data.agg(*sketches).first()
+    cuts = {}
+    for i, ranks in enumerate(shared.values()):
+        for j, r in enumerate(ranks):
+            cuts[r] = (row[f"c{i}"][2 * j], row[f"c{i}"][2 * j + 1])
 
     counts = []
     for r, o in large.items():
-        c1, c2 = cuts[f"c{r}"]
+        c1, c2 = cuts[r]
         v = F.col("v")
         between = F.when((v > F.lit(c1)) & (v < F.lit(c2)), v)
         counts += [
@@ -116,7 +127,7 @@ def _narrow(data: DataFrame, large: dict[int, _Open]) -> dict[int, _Open | float
 
     steps: dict[int, _Open | float] = {}
     for r, o in large.items():
-        c1, c2 = cuts[f"c{r}"]
+        c1, c2 = cuts[r]
         under1, upto1 = row[f"under1_{r}"], row[f"upto1_{r}"]
         under2, upto2 = row[f"under2_{r}"], row[f"upto2_{r}"]
         if r < under1:
