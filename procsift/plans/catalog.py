@@ -53,6 +53,16 @@ def query(build: Query) -> Query:
     return build
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    """Register under the operator's own name, which an import already takes."""
+
+    def register(build: Query) -> Query:
+        QUERIES[name] = build
+        return build
+
+    return register
+
+
 def _prepped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep_events(process_events(spark, sf_dir))
 
@@ -180,12 +190,12 @@ def parse_hex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_events(spark, sf_dir).select("event_id", hex_id(text).alias("parsed_id"))
 
 
-@query
+@named("null_summary")
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null_summary(process_events(spark, sf_dir).select(*CORE_COLUMNS, *TARGET_COLUMNS))
 
 
-@query
+@named("event_type_counts")
 def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_type_counts(process_events(spark, sf_dir))
 
@@ -213,7 +223,7 @@ def suspicious_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- preparation --------------------------------------------------------------
 
 
-@query
+@named("prep_events")
 def prepared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepped(spark, sf_dir).select(
         "event_id",
@@ -297,13 +307,13 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model_matrix(build_features(_prepped(spark, sf_dir))))
 
 
-@query
+@named("heuristic_labels")
 def labels_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_row_features(_prepped(spark, sf_dir))
     return heuristic_labels(rows).select("event_id", "is_attack")
 
 
-@query
+@named("top_suspicious")
 def top_suspicious_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_row_features(_prepped(spark, sf_dir))
     return top_suspicious(rows).select(
@@ -319,12 +329,12 @@ def top_suspicious_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@named("feature_correlation")
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.feature_correlation(_stored_features(spark, sf_dir)))
 
 
-@query
+@named("feature_histograms")
 def feature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.feature_histograms(_stored_features(spark, sf_dir)))
 
@@ -361,7 +371,7 @@ def forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@named("attribution")
 def attribution_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapley values of the rows the forest calls anomalous, in long form."""
     features = _stored_features(spark, sf_dir)
@@ -462,7 +472,7 @@ def custom_risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return banded.select("event_id", "risk_level")
 
 
-@query
+@named("strong_indicator")
 def strong_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     return scored.select("event_id", gating.strong_indicator(scored).alias("strong"))
@@ -526,7 +536,7 @@ def top_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.top_flagged(_gated(spark, sf_dir))
 
 
-@query
+@named("threshold_config")
 def gate_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = threshold_config(spark, gating.gate_threshold(_scored(spark, sf_dir)))
     bound = F.col("risk_level_bounds")
@@ -615,7 +625,7 @@ def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.risk_distribution(gating.add_risk_level(_scored(spark, sf_dir)))
 
 
-@query
+@named("triage_view")
 def triage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triage.triage_rows(
         _gated(spark, sf_dir), levels=["Critical", "High"], keyword="powershell|vssadmin",

@@ -275,7 +275,7 @@ _names = [
     "pid", "ppid", "source", "target_image", "target_pid",
 ]
 _add(
-    "null_counts",
+    "null_summary",
     _sql(
         "ev",
         " UNION ALL ".join(
@@ -283,7 +283,7 @@ _add(
         ),
     ),
 )
-_add("event_types", _sql("ev", "SELECT event_type, count(*) AS n FROM ev GROUP BY event_type"))
+_add("event_type_counts", _sql("ev", "SELECT event_type, count(*) AS n FROM ev GROUP BY event_type"))
 _match = f"regexp_matches(lower(coalesce(command_line, '')), '{'|'.join(SUSPICIOUS_KEYWORDS)}')"
 _add(
     "suspicious_keyword_rows", _sql("ev", f"SELECT event_id, command_line FROM ev WHERE {_match}")
@@ -298,7 +298,7 @@ ORDER BY event_id LIMIT 5""",
     ),
 )
 _add(
-    "prepared_events",
+    "prep_events",
     _sql(
         "prep",
         """SELECT event_id, "timestamp", event_type, pid, ppid, process_image_base,
@@ -344,7 +344,7 @@ _add(
         + " FROM feats",
     ),
 )
-_add("labels_heuristic", _sql("labels", "SELECT event_id, is_attack FROM labels"))
+_add("heuristic_labels", _sql("labels", "SELECT event_id, is_attack FROM labels"))
 _add(
     "label_classes",
     _sql(
@@ -354,7 +354,7 @@ _add(
     ),
 )
 _add(
-    "top_suspicious_events",
+    "top_suspicious",
     _sql(
         "rowf",
         """SELECT event_id, "timestamp", process_image, parent_image, command_line,
@@ -380,7 +380,7 @@ def _correlation_cells() -> str:
 
 
 _add(
-    "feature_correlations",
+    "feature_correlation",
     _sql("feats", "").rstrip() + ",\nstored AS MATERIALIZED (SELECT * FROM feats)\n" + _correlation_cells(),
 )
 
@@ -412,7 +412,7 @@ def _histogram_shapes() -> str:
 
 
 _add(
-    "feature_histogram",
+    "feature_histograms",
     _sql("feats", "").rstrip()
     + ",\nstored AS MATERIALIZED (SELECT * FROM feats),\n"
     + _histogram_shapes()
@@ -521,7 +521,7 @@ _add(
   WHEN anomaly_score <= q50 THEN 'Medium' ELSE 'Normal' END AS risk_level FROM rowf, bounds""",
     ),
 )
-_add("strong_indicators", _sql("rowf", f"SELECT event_id, {_STRONG} AS strong FROM rowf"))
+_add("strong_indicator", _sql("rowf", f"SELECT event_id, {_STRONG} AS strong FROM rowf"))
 _add("gated_flags", _sql("gated", "SELECT event_id, flagged FROM gated"))
 _add(
     "explanations",
@@ -582,7 +582,7 @@ _add(
     ),
 )
 _add(
-    "gate_config",
+    "threshold_config",
     _sql(
         "bounds",
         f"""SELECT round(q05, 6) AS score_threshold, 0.02::DOUBLE AS critical, 0.05::DOUBLE AS high,
@@ -648,7 +648,7 @@ _add(
     _sql("gated", "SELECT risk_level, count(*) AS n FROM gated GROUP BY risk_level"),
 )
 _add(
-    "triage_table",
+    "triage_view",
     _sql(
         "gated",
         """SELECT event_id, "timestamp", risk_level, process_image, parent_image,

@@ -141,7 +141,7 @@ def _hex(number: Column) -> Column:
 
 
 def _utc_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.replace(ts.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def ndjson_text(view: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def security_text(view: DataFrame) -> DataFrame:
     rows = view.where(F.col("source") == "security_4688")
     line = _event_xml(
         F.lit("4688"),
-        F.concat(_utc_text(F.col("timestamp")), F.lit("Z")),
+        _utc_text(F.col("timestamp")),
         [
             _data("NewProcessId", _hex(F.col("pid"))),
             _data("NewProcessName", F.col("process_image")),
@@ -187,9 +187,9 @@ def sysmon_text(view: DataFrame) -> DataFrame:
 
     line = _event_xml(
         F.col("event_type"),
-        F.concat(_utc_text(F.col("timestamp")), F.lit("Z")),
+        _utc_text(F.col("timestamp")),
         [
-            _data("UtcTime", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
+            _data("UtcTime", F.col("timestamp").cast("string")),
             _data("ParentImage", F.lit("overridden by the later item")),
             _data("ParentImage", F.coalesce(F.col("parent_image"), F.lit(""))),
             when_create("Image", "SourceImage", F.col("process_image")),

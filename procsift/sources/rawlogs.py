@@ -58,13 +58,13 @@ _CLOSING = r"</([\w.-]+:)?Event\s*>"
 
 
 def _once(lines: DataFrame, parsed: Column, name: str) -> DataFrame:
-    """Add a parsed column through a one-row generator.
+    """Add a parsed value, given as an array of one, through a generator.
 
     A filter on a projected column is pushed below it together with a copy of
     the expression, so every line would be parsed twice. No filter passes a
     generator.
     """
-    return lines.select("*", F.explode_outer(F.array(parsed)).alias(name))
+    return lines.select("*", F.explode_outer(parsed).alias(name))
 
 
 def ndjson_lines(lines: DataFrame) -> DataFrame:
@@ -79,7 +79,9 @@ def ndjson_lines(lines: DataFrame) -> DataFrame:
     parsed = F.from_json(
         wrapped, f"array<struct<{record}>>", {"allowSingleQuotes": "false"}
     )
-    one = F.when(F.size(parsed) == 1, F.try_element_at(parsed, F.lit(1)))
+    one = F.transform(
+        F.array(parsed), lambda rows: F.when(F.size(rows) == 1, F.try_element_at(rows, F.lit(1)))
+    )
     return (
         _once(lines, one, "_row")
         .select(
@@ -95,7 +97,7 @@ def _xml_events(lines: DataFrame) -> DataFrame:
     event = F.from_xml(F.col("value"), _EVENT_XML, _XML_OPTIONS)
     text = F.trim("value")
     single = text.endswith(">") & (F.regexp_count(text, F.lit(_CLOSING)) <= 1)
-    return _once(lines, event, "_event").withColumn(
+    return _once(lines, F.array(event), "_event").withColumn(
         "malformed",
         F.col("value").isNull() | F.col("_event._malformed").isNotNull() | ~single,
     )

@@ -8,7 +8,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF_DIR
 from verify import canonical, connect, oracle_rows
 
-ONLY_ROWS = {"rf_importance", "forest_scores", "forest_alerts", "attribution_values"}
+ONLY_ROWS = {"rf_importance", "forest_scores", "forest_alerts", "attribution"}
 
 
 @pytest.fixture(scope="module")
