@@ -4,18 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procsift.llm import binary_packing, line_dedup, poly_exact, reply_trees, simhash_index
+from procsift.llm import (
+    binary_packing,
+    line_dedup,
+    poly_exact,
+    qda_quality,
+    reply_trees,
+    simhash_index,
+    templates,
+    token_secrets,
+)
 from procsift.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def span_digests(rows: DataFrame, *counted: str) -> DataFrame:
+    """doc_id, a count for each base kind, the digest of the base spans, all spans."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*counted))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                spans,
+                lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+            ),
+            ",",
+        )
+
+    return rows.select(
+        "doc_id",
+        *[F.size(F.filter("spans", _of(kind))).cast("bigint").alias(f"n_{kind}") for kind in counted],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def _of(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_secrets.scan(table(spark, sf_dir, "documents"))
+    return span_digests(rows, "assign", "access", "hex")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -64,7 +111,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
