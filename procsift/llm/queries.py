@@ -12,6 +12,7 @@ from procsift.llm import (
     line_dedup,
     poly_exact,
     qda_quality,
+    recurrent_lm,
     reply_trees,
     simhash_index,
     templates,
@@ -24,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -112,6 +117,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
