@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from procsift.llm import (
     binary_packing,
     line_dedup,
+    pii_boosting,
     poly_exact,
     qda_quality,
     recurrent_lm,
@@ -38,24 +39,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def span_digests(rows: DataFrame, *counted: str) -> DataFrame:
-    """doc_id, a count for each base kind, the digest of the base spans, all spans."""
-    base = F.filter("spans", lambda s: s["kind"].isin(*counted))
-
-    def listed(spans: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                spans,
-                lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
-            ),
-            ",",
-        )
+def _listed(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    parts = F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    )
+    return F.array_join(parts, ",")
 
+
+def span_digests(rows: DataFrame, *counted: str) -> DataFrame:
+    """doc_id, a count for each kind of ``base``, the digest of ``base``, all ``spans``."""
     return rows.select(
         "doc_id",
-        *[F.size(F.filter("spans", _of(kind))).cast("bigint").alias(f"n_{kind}") for kind in counted],
-        F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(F.col("spans")).alias("spans"),
+        *[F.size(F.filter("base", _of(kind))).cast("bigint").alias(f"n_{kind}") for kind in counted],
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
     )
 
 
@@ -64,8 +62,15 @@ def _of(kind: str) -> Callable[[Column], Column]:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("assign", "access", "hex")
     rows = token_secrets.scan(table(spark, sf_dir, "documents"))
-    return span_digests(rows, "assign", "access", "hex")
+    return span_digests(
+        rows.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*kinds))), *kinds
+    )
+
+
+def op6_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(pii_boosting.find(table(spark, sf_dir, "documents")), *pii_boosting.KINDS)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_pii_boosting": op6_pii_boosting,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
