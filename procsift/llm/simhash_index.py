@@ -174,3 +174,22 @@ def near_duplicates(
     smallest = named.groupBy("root").agg(F.min("owner").alias("component_id"))
     classes = stored(named.join(smallest, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` that are the smallest doc_id of their class, with all
+    their columns. Of rows that repeat a doc_id the least one stays; rows
+    without a doc_id all stay."""
+    found = near_duplicates(docs, **options)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = repeated.where("doc_id is not null").select(F.col("doc_id").alias("_again"))
+    stay = docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    single = stay.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
+    several = (
+        stay.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(*docs.columns)).alias("row"))
+        .select("row.*")
+    )
+    return single.unionAll(several)
