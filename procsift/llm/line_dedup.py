@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.common import WHITE, ascii_lower, stored, text_of
+from procsift.llm.common import WHITE, ascii_lower, fresh, stored, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -58,32 +58,32 @@ def drop_shared_lines(
         .select("key", "keeper"),
         "shared-lines",
     )
+    names = {n: fresh(docs, f"_{n}") for n in ("doc", "row", "gone", "hash")}
     dropped = (
         keyed.join(shared, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "row")
-        .agg(F.collect_set("pos").alias("gone"))
-        .select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+        .agg(F.collect_set("pos").alias(names["gone"]))
+        .withColumnsRenamed({"doc_id": names["doc"], "row": names["row"]})
     )
-    text, lines = text_of(docs), _lines(text_of(docs))
     rows = docs.select(
         *[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.xxhash64(text).alias("_hash"),
+        F.xxhash64(text_of(docs)).alias(names["hash"]),
     )
     joined = rows.join(
         dropped,
-        rows["doc_id"].eqNullSafe(dropped["_doc"]) & (rows["_hash"] == dropped["_row"]),
+        rows["doc_id"].eqNullSafe(dropped[names["doc"]]) & (rows[names["hash"]] == dropped[names["row"]]),
         "left",
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, gone = F.coalesce(F.col("text"), F.lit("")), F.col(names["gone"])
     lines = _lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.when(gone.isNull(), text).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     )
-    out = [kept.alias(c) if c == "text" else F.col(c) for c in rows.columns if c != "_hash"]
+    out = [kept.alias(c) if c == "text" else F.col(c) for c in rows.columns if c != names["hash"]]
     return joined.select(
         *out,
         F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procsift.llm.common import crc_remainder, text_of
+from procsift.llm.common import crc_remainder, fresh, text_of
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -213,9 +213,6 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with all their columns."""
     model = learn(docs, labels)
-    names = docs.columns
-    return (
-        docs.withColumn("_quality_score", quality_score(model, docs["text"]))
-        .where(F.col("_quality_score") >= threshold)
-        .select(*names)
-    )
+    name = fresh(docs, "_quality_score")
+    rows = docs.withColumn(name, quality_score(model, docs["text"]))
+    return rows.where(F.col(name) >= threshold).drop(name)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.common import components, stored, text_of
+from procsift.llm.common import components, fresh, stored, text_of
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -181,13 +181,14 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     their columns. Of rows that repeat a doc_id the least one stays; rows
     without a doc_id all stay."""
     found = near_duplicates(docs, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    away, again = fresh(docs, "_gone"), fresh(docs, "_again")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(away))
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = repeated.where("doc_id is not null").select(F.col("doc_id").alias("_again"))
-    stay = docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
-    single = stay.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
+    repeated = repeated.where("doc_id is not null").select(F.col("doc_id").alias(again))
+    stay = docs.join(gone.distinct(), docs["doc_id"] == F.col(away), "left_anti")
+    single = stay.join(repeated, stay["doc_id"] == F.col(again), "left_anti")
     several = (
-        stay.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi")
+        stay.join(repeated, stay["doc_id"] == F.col(again), "left_semi")
         .groupBy("doc_id")
         .agg(F.min(F.struct(*docs.columns)).alias("row"))
         .select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.common import stored, text_of
+from procsift.llm.common import fresh, stored, text_of
 
 WINDOW = 8
 #: Shorter items have too few words to tell a leak from chance.
@@ -243,5 +243,6 @@ def contamination(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    hit = contamination(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hit.withColumnRenamed("doc_id", "_hit"), F.col("doc_id") == F.col("_hit"), "left_anti")
+    name = fresh(docs, "_hit")
+    hit = contamination(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, docs["doc_id"] == F.col(name), "left_anti")
