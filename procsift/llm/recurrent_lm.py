@@ -28,7 +28,7 @@ SCORE_LANES, SCORE_WINDOW = 512, 24
 TRAIN_LANES, TRAIN_WINDOW = 192, 16
 #: One training document in GRADIENT_SHARE takes part in the gradient passes;
 #: these are dealt out over ROUNDS, with the mean of all tasks' weights between.
-GRADIENT_SHARE, ROUNDS = 12, 3
+GRADIENT_SHARE, ROUNDS = 5, 3
 LEARNING_RATE = 0.01
 COUNTER_WORDS = 200_000
 
