@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from procsift.functions.topk import top_features
 from procsift.operators.forest import Forest, average_path, matrix_of
 from procsift.schema import NOT_FLAGGED
-from procsift.session import spread_small, store
+from procsift.session import dealt_out, store
 
 _ROWS = 256
+# Flagged rows that one task explains.
+ROWS_PER_PART = 500
 
 
 def _leaf_tables(forest: Forest) -> list[dict[str, np.ndarray]]:
@@ -139,10 +141,11 @@ def append_attributions(
 ) -> DataFrame:
     """Append the strongest features to the explanations of flagged rows.
 
-    The flagged rows are filtered out first, because a Python function inside
-    ``when`` would run on every row; a union then needs no join back. They are
-    few (under the gate's quantile) and costly to explain, so they are stored:
-    nothing before this step runs twice. Without a model or the needed columns
+    The gated rows are stored once; nothing before this step runs twice. A
+    Python function inside ``when`` would run on every row, so the flagged part
+    of what was stored is explained on its own and united with the rest. Those
+    rows are few (under the gate's quantile) and take a millisecond or two
+    each, so they are dealt out evenly. Without a model or the needed columns
     the frame comes back as it is.
     """
     if forest is None or not {"explanation", "flagged"} <= set(gated.columns):
@@ -153,9 +156,10 @@ def append_attributions(
         F.coalesce("explanation", F.lit(NOT_FLAGGED)) != NOT_FLAGGED
     )
     suffix = top_features(F.col("_attribution"), forest.features, top_k)
-    alerts = store(gated.where(flagged), "flagged")
+    gated = store(gated, "gated").df
+    alerts = gated.where(flagged)
     explained = (
-        attributions(spread_small(alerts.df, alerts.rows), forest, "_attribution")
+        attributions(dealt_out(alerts, alerts.count(), ROWS_PER_PART, "event_id"), forest, "_attribution")
         .withColumn("explanation", F.concat("explanation", F.coalesce(suffix, F.lit(""))))
         .drop("_attribution")
     )

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procsift.functions.text import lowered
-from procsift.operators.quantiles import exact_quantiles
+from procsift.operators.quantiles import MAX_VALUES, exact_quantiles
 from procsift.schema import FEATURES, KEY_PATTERNS
 from procsift.sources.unified import column_or_null
 
@@ -150,10 +146,14 @@ def describe_score(df: DataFrame, score_col: str = "anomaly_score") -> DataFrame
 
 
 def score_quantiles(
-    df: DataFrame, probs: list[float], score_col: str = "anomaly_score"
+    df: DataFrame,
+    probs: list[float],
+    score_col: str = "anomaly_score",
+    *,
+    max_values: int = MAX_VALUES,
 ) -> DataFrame:
     """Threshold ideas: one row per probability."""
-    values = exact_quantiles(df, score_col, probs)
+    values = exact_quantiles(df, score_col, probs, max_values=max_values)
     return df.sparkSession.createDataFrame(
         [(float(p), v) for p, v in zip(probs, values)], "p double, score double"
     )
@@ -291,44 +291,11 @@ def feature_histograms(
     )
 
 
-def _pair_sums(numbers: DataFrame, means: list[float]) -> np.ndarray:
-    """Four tables of sums over the rows where both columns of a pair are
-    present: rows, x, x squared, x times y; all of centred values.
-
-    Each partition adds up small matrix products of its Arrow batches and
-    leaves one row.
-    """
-    k = len(means)
-    centre = np.array(means)
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((4, k, k))
-        for batch in batches:
-            x = batch.to_numpy(dtype=float) - centre
-            present = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            total[0] += present.T @ present
-            total[1] += x.T @ present
-            total[2] += (x * x).T @ present
-            total[3] += x.T @ x
-        yield pd.DataFrame({"sums": [total.ravel()]})
-
-    cells = (
-        numbers.mapInPandas(add_up, "sums array<double>")
-        .select(F.posexplode("sums").alias("cell", "part"))
-        .groupBy("cell")
-        .agg(F.sum("part").alias("total"))
-    )
-    result = np.zeros(4 * k * k)
-    for row in cells.collect():  # 4 k squared numbers
-        result[row["cell"]] = row["total"]
-    return result.reshape(4, k, k)
-
-
 def feature_correlation(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, in long form.
 
     A pair uses the rows where both are present; a constant column gives null.
+    Two aggregates over the table; rounding can't take a value beyond 1.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns]
     shape = "feature_a string, feature_b string, correlation double"
@@ -336,20 +303,28 @@ def feature_correlation(features: DataFrame, columns: list[str] | None = None) -
     if len(names) < 2:
         return spark.createDataFrame([], shape)
     numbers = features.select(*[F.col(c).cast("double").alias(c) for c in names])
-    means = numbers.agg(*[F.avg(c).alias(c) for c in names]).first()
-    n, x, xx, xy = _pair_sums(numbers, [m or 0.0 for m in means])
-    cells = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            together = None
-            if n[i, j] > 0:
-                left = xx[i, j] - x[i, j] ** 2 / n[i, j]
-                right = xx[j, i] - x[j, i] ** 2 / n[i, j]
-                if left > 0 and right > 0:
-                    shared = xy[i, j] - x[i, j] * x[j, i] / n[i, j]
-                    together = float(shared / math.sqrt(left * right))
-            cells.append((a, b, together))
-    return spark.createDataFrame(cells, shape)
+    numbers = numbers.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+    every = range(len(names))
+    counts = numbers.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    whole = [counts[f"n{i}"] == counts["n"] for i in every]
+    pairs = [(i, j) for i in every for j in range(i + 1, len(names))]
+    sums = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(names)]
+    for i, j in pairs:
+        a, b = F.col(names[i]), F.col(names[j])
+        sums.append(F.covar_pop(a, b).alias(f"c{i}_{j}"))
+        # Without nulls in the other column, a column's spread is its own.
+        if not whole[j]:
+            sums.append(F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"a{i}_{j}"))
+        if not whole[i]:
+            sums.append(F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"b{i}_{j}"))
+    row = numbers.agg(*sums).first().asDict()
+    cells = {(i, i): 1.0 if row[f"s{i}"] else None for i in every}
+    for i, j in pairs:
+        left = row.get(f"a{i}_{j}") if not whole[j] else row[f"s{i}"]
+        right = row.get(f"b{i}_{j}") if not whole[i] else row[f"s{j}"]
+        value = row[f"c{i}_{j}"] / (left * right) if left and right else None
+        cells[i, j] = cells[j, i] = value if value is None else max(-1.0, min(1.0, value))
+    return spark.createDataFrame([(names[i], names[j], cells[i, j]) for i in every for j in every], shape)
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:

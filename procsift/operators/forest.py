@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from procsift.operators.quantiles import exact_quantiles
 from procsift.schema import FEATURES, TRACE_COLUMNS
-from procsift.session import spread_small, store
+from procsift.session import dealt_out, store
 from procsift.sources.artifacts import model_matrix, read_optional
 
 # The default settings of the detector.
@@ -31,9 +31,12 @@ SEED = 42
 AUTO_OFFSET = -0.5
 
 # The node table goes to the driver and to every task; its size depends on the
-# settings alone and is checked against this.
+# settings alone and is checked against this before the fit.
 MAX_NODES = 4_000_000
 
+# Rows that one task scores: walking all trees costs far more than moving a row.
+ROWS_PER_PART = 12_500
+
 NODE_SCHEMA = "tree int, node int, feature int, cut double, size bigint, depth int"
 _UNIT = 1 << 52
 _EULER = 0.5772156649015329
@@ -53,24 +56,33 @@ def _hash_below(rate: float, *parts):
 
 def tree_samples(matrix: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
     """``tree`` and the matrix columns: ``size`` rows per tree, drawn without
-    replacement, each tree on its own.
+    replacement.
 
     One hash per row thins a large table to a pool whose size depends on the
-    settings only; within the pool every tree keeps the rows of smallest hash.
+    settings only. A pool row is a candidate for as many trees, drawn by hash,
+    as it takes to give every tree about ``4 * size`` candidates, of which it
+    keeps those of smallest hash.
     """
     candidates = 4 * size + 64
     pool_rate = min(1.0, 2.0 * candidates * trees / n)
     pool = matrix
     if pool_rate < 1.0:
         pool = matrix.where(_hash_below(pool_rate, "event_id", F.lit(seed)))
-    tree_rate = min(1.0, candidates / (n * pool_rate))
-    drawn = pool.select(
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "*"
-    ).withColumn("_draw", F.xxhash64("event_id", "tree", F.lit(seed + 1)))
-    if tree_rate < 1.0:
-        drawn = drawn.where(
-            F.pmod("_draw", F.lit(_UNIT)) < F.lit(int(tree_rate * _UNIT))
+    slots = math.ceil(candidates * trees / (n * pool_rate))
+    if 4 * slots < trees:
+        chosen = F.array_distinct(
+            F.array(
+                *[
+                    F.pmod(F.xxhash64("event_id", F.lit(seed + 2 + j)), F.lit(trees)).cast("int")
+                    for j in range(slots)
+                ]
+            )
         )
+    else:
+        chosen = F.sequence(F.lit(0), F.lit(trees - 1))
+    drawn = pool.select(F.explode(chosen).alias("tree"), "*").withColumn(
+        "_draw", F.xxhash64("event_id", "tree", F.lit(seed + 1))
+    )
     # A stated number of partitions: growing a tree costs far more than its few
     # bytes suggest, so the partitions must not be merged by size.
     drawn = drawn.repartition(max(1, trees // 4), "tree")
@@ -118,6 +130,16 @@ def grow_trees(samples: DataFrame, features: list[str], limit: int, seed: int) -
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def check_size(trees: int, sample_size: int, max_nodes: int = MAX_NODES) -> None:
+    """Refuse a forest whose node table could be too large to send around."""
+    bound = trees * (2 * sample_size - 1)
+    if bound > max_nodes:
+        raise ValueError(
+            f"{trees} trees of {sample_size} samples can have {bound} "
+            f"nodes, more than the {max_nodes} that may be sent to every task"
+        )
+
+
 @dataclass(frozen=True)
 class Forest:
     """The node table with what is needed to apply it."""
@@ -135,12 +157,7 @@ class Forest:
 
     @cached_property
     def node_frame(self) -> pd.DataFrame:
-        bound = self.trees * (2 * self.sample_size - 1)
-        if bound > MAX_NODES:
-            raise ValueError(
-                f"{self.trees} trees of {self.sample_size} samples can have {bound} "
-                f"nodes, more than the {MAX_NODES} that may be sent to every task"
-            )
+        check_size(self.trees, self.sample_size)
         return self.nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,21 +255,34 @@ def fit_and_score(
     max_samples: int | str = SAMPLE_SIZE,
     seed: int = SEED,
     columns: list[str] | None = None,
+    keep: list[str] | None = None,
+    max_nodes: int = MAX_NODES,
 ) -> tuple[Forest, DataFrame]:
     """Fit the forest; also return ``event_id, anomaly_score, is_anomaly`` of
-    the training rows, whose raw scores the fit needs anyway for its offset."""
+    the training rows, whose raw scores the fit needs anyway for its offset.
+
+    ``keep`` names columns of ``features`` to carry along, so that what follows
+    needs no join; features among them keep their own values. Settings whose
+    forest could have more than ``max_nodes`` nodes are refused at once.
+    """
     names = columns or FEATURES
-    matrix = store(model_matrix(features, names), "matrix").df
+    wanted = SAMPLE_SIZE if max_samples == "auto" else int(max_samples)
+    check_size(trees, wanted, max_nodes)
+    kept = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
+    matrix = store(model_matrix(features, names, kept), "matrix").df
     n = matrix.count()
     if n == 0:
         raise ValueError("no rows to fit")
-    matrix = spread_small(matrix, n)
-    size = min(SAMPLE_SIZE if max_samples == "auto" else int(max_samples), n)
+    size = min(wanted, n)
     limit = math.ceil(math.log2(max(size, 2)))
-    samples = tree_samples(matrix, n, trees, size, seed)
+    samples = tree_samples(matrix.select("event_id", *names), n, trees, size, seed)
     nodes = store(grow_trees(samples, names, limit, seed), "forest")
     draft = Forest(nodes.df, trees, size, names, 0.0, str(contamination))
-    scored = store(raw_scores(matrix, draft).select("event_id", "raw_score"), "raw").df
+    dealt = dealt_out(matrix, n, ROWS_PER_PART, "event_id")
+    raw = raw_scores(dealt, draft).select(
+        "event_id", "raw_score", *[F.col(f"_keep_{c}").alias(c) for c in keep or []]
+    )
+    scored = store(raw, "raw").df
     if contamination == "auto":
         offset = AUTO_OFFSET
     else:

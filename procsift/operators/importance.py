@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from procsift.operators.evaluate import class_counts
 from procsift.schema import FEATURES
-from procsift.session import spread_small
+from procsift.session import dealt_out
 
 # The settings of the importance model.
 TREES = 100
@@ -17,6 +17,10 @@ DEPTH = 10
 SEED = 42
 SHAPE = "feature string, importance double"
 
+# The forest draws its samples partition by partition, so rows are dealt out by
+# id: its importances are the same for any layout of the input.
+ROWS_PER_PART = 20_000
+
 
 def rf_importance(
     labelled: DataFrame,
@@ -33,11 +37,14 @@ def rf_importance(
     counts = class_counts(labelled).first()
     if counts["positive"] < 2 or counts["negative"] < 2:
         return spark.createDataFrame([], SHAPE)
+    key = ["event_id"] if "event_id" in labelled.columns else []
     matrix = labelled.select(
+        *key,
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names],
         F.col("is_attack").cast("double").alias("label"),
     )
-    matrix = spread_small(matrix, counts["positive"] + counts["negative"])
+    rows = counts["positive"] + counts["negative"]
+    matrix = dealt_out(matrix, rows, ROWS_PER_PART, *(key or matrix.columns))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(matrix)
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"

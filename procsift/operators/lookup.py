@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procsift.session import Stored
+from procsift.session import BROADCAST_BYTES, Stored
 
-BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 10_000
 HOT_TEXT_BYTES = 1024
 _SPREAD = 1 << 20

@@ -24,17 +24,23 @@ _MARGIN = 5.0 / _SKETCH
 
 @dataclass(frozen=True)
 class _Open:
-    """The rank lies strictly between ``low`` and ``high``; ``upto`` rows are
-    at or under ``low`` and ``rows`` rows are between."""
+    """The rank lies strictly between ``low`` and ``high``, which are None where
+    there is no bound yet: an infinite score is a value like any other.
+    ``upto`` rows are at or under ``low`` and ``rows`` rows are between."""
 
-    low: float
-    high: float
+    low: float | None
+    high: float | None
     upto: int
     rows: int
     distinct: float = math.inf
 
     def contains(self, value: Column) -> Column:
-        return (value > F.lit(self.low)) & (value < F.lit(self.high))
+        inside = value.isNotNull()
+        if self.low is not None:
+            inside = inside & (value > F.lit(self.low))
+        if self.high is not None:
+            inside = inside & (value < F.lit(self.high))
+        return inside
 
 
 def exact_quantiles(
@@ -50,31 +56,34 @@ def exact_quantiles(
     n = size["n"]
     if n == 0:
         return [None] * len(probs)
-    if size["d"] <= max_values:
-        exact = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))
-        return list(data.agg(exact).first()[0])
-
     places = {}
     for p in probs:
         position = (n - 1) * p
         k = int(math.floor(position))
         places[p] = (k, min(k + 1, n - 1), position - k)
     wanted = sorted({r for lower, upper, _ in places.values() for r in (lower, upper)})
-    values = _order_statistics(data, n, wanted, max_values)
+    values = _order_statistics(data, n, wanted, max_values, size["d"])
     result = []
     for p in probs:
         lower, upper, share = places[p]
         a, b = values[lower], values[upper]
-        result.append(a if a == b else a + (b - a) * share)
+        result.append(_between(a, b, share))
     return result
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Linear interpolation; a rank on a value is that value, infinite or not."""
+    if a == b or share == 0:
+        return a
+    return (1 - share) * a + share * b
+
+
 def _order_statistics(
-    data: DataFrame, n: int, ranks: list[int], max_values: int
+    data: DataFrame, n: int, ranks: list[int], max_values: int, distinct: int
 ) -> dict[int, float]:
     """The values at 0-based ranks of the sorted column."""
     found: dict[int, float] = {}
-    open_ranks = {r: _Open(-math.inf, math.inf, 0, n) for r in ranks}
+    open_ranks = {r: _Open(None, None, 0, n, distinct) for r in ranks}
     while open_ranks:
         small = {r: o for r, o in open_ranks.items() if o.distinct <= max_values}
         found.update(_count_out(data, small))
@@ -93,7 +102,7 @@ def _narrow(data: DataFrame, large: dict[int, _Open]) -> dict[int, _Open | float
     if not large:
         return {}
     # Ranks between the same two values share one sketch.
-    shared: dict[tuple[float, float], list[int]] = {}
+    shared: dict[tuple[float | None, float | None], list[int]] = {}
     for r, o in large.items():
         shared.setdefault((o.low, o.high), []).append(r)
     sketches = []

@@ -28,6 +28,7 @@ from procsift.operators.features import (
     top_suspicious,
 )
 from procsift.operators.graph import pid_depth
+from procsift.operators.lookup import LookupLimits
 from procsift.operators.prep import (
     complete_rows,
     event_type_counts,
@@ -35,16 +36,20 @@ from procsift.operators.prep import (
     prep_events,
     suspicious_match,
 )
-from procsift.schema import CORE_COLUMNS, FEATURES, RAW_FILES, TARGET_COLUMNS
+from procsift.plans import jobs
+from procsift.schema import CORE_COLUMNS, FEATURES, RAW_FILES, TARGET_COLUMNS, TRACE_COLUMNS
 from procsift.session import scratch_path, store
-from procsift.sources import intake, rawlogs
+from procsift.sources import artifacts, intake, rawlogs
 from procsift.sources.artifacts import model_matrix, threshold_config
 from procsift.sources.bridge import RAW_TEXT, process_events, process_view
 from procsift.sources.unified import combined_events, to_unified
-from procsift.streaming.alerts import Snapshot, start_alerts
+from procsift.streaming.alerts import Snapshot, load_snapshot, save_snapshot, start_alerts
 from procsift.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Limits under which a lookup meets in a shuffle join.
+SHUFFLED = LookupLimits(broadcast_bytes=0, hot_keys=5)
+LABEL_INPUTS = ["suspicious_parent", "dump_precursor", "hidden_flags"]
 QUERIES: dict[str, Query] = {}
 
 
@@ -160,6 +165,16 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined_events(spark, folder).drop("event_id")
 
 
+@query
+def ingested_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the order of sources, files and lines, over several sorted files."""
+    folder = scratch_path(spark, "sorted-logs")
+    view = process_events(spark, sf_dir).orderBy("event_id")
+    for source, name in RAW_FILES.items():
+        RAW_TEXT[source](view).write.text(f"{folder}/{name}")
+    return combined_events(spark, folder).select("event_id", "source", "timestamp", "pid", "command_line")
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files through the incremental ingest."""
@@ -361,10 +376,10 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline: features, forest, bands, gate, attributions."""
     prepped = _prepped(spark, sf_dir)
-    features = store(build_features(prepped), "features").df
-    model, scores = forest.fit_and_score(features)
-    scored = forest.with_trace(scores, prepped)
-    gated, _, _ = gating.gate(gating.merge_scored(scored, features))
+    trace = [c for c in TRACE_COLUMNS if c in prepped.columns]
+    features = build_features(prepped, keep=trace)
+    model, scored = forest.fit_and_score(features, keep=[*trace, *FEATURES])
+    gated, _, _ = gating.gate(scored)
     flagged = gated.where("flagged")
     return attribution.append_attributions(flagged, model).select(
         "event_id", "anomaly_score", "risk_level", "explanation"
@@ -396,6 +411,13 @@ def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_quantiles(_scored(spark, sf_dir), probs))
 
 
+@query
+def score_quantiles_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, narrowed down by sketches as a column of very many values is."""
+    probs = [0.02, 0.05, 0.10, 0.20]
+    return _rounded(evaluate.score_quantiles(_scored(spark, sf_dir), probs, max_values=50))
+
+
 @query
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_histogram(_scored(spark, sf_dir)))
@@ -441,6 +463,88 @@ def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id").join(labels.select("event_id"), "event_id", "left_semi")
 
 
+@query
+def any_label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether scored rows meet the labels, and whether they meet none."""
+    rows = add_row_features(_prepped(spark, sf_dir)).select("event_id", "pid", *LABEL_INPUTS)
+    labels = heuristic_labels(rows)
+    found = [
+        ("all", evaluate.any_overlap(rows, labels)),
+        ("shifted", evaluate.any_overlap(rows, labels.withColumn("event_id", -F.col("event_id") - 1))),
+    ]
+    return spark.createDataFrame(found, "labels string, overlap boolean")
+
+
+# --- invariants of the fitted models --------------------------------------------
+
+
+@query
+def forest_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every tree: rows at the root, rows over its leaves, whether it is too deep."""
+    model, _ = forest.fit_and_score(build_features(_prepped(spark, sf_dir)))
+    leaf = F.col("feature") < 0
+    return model.nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).alias("root_size"),
+        F.sum(F.when(leaf, F.col("size"))).alias("leaf_rows"),
+        (F.max("depth") <= F.lit(model.height)).alias("depth_ok"),
+    )
+
+
+@query
+def forest_alert_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prepared row is scored, and at most the contamination is anomalous."""
+    scores = forest.fit_and_score(build_features(_prepped(spark, sf_dir)))[1]
+    return scores.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        # The quantile may lie between two rows.
+        (F.sum("is_anomaly") <= F.lit(forest.CONTAMINATION) * F.count(F.lit(1)) + 1).alias("rate_ok"),
+        F.count_if(F.col("is_anomaly") != (F.col("anomaly_score") < 0).cast("int")).alias("odd_rows"),
+    )
+
+
+@query
+def importance_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importances of the random forest are shares of one."""
+    rows = rf_importance(spark, sf_dir)
+    return _rounded(
+        rows.agg(
+            F.count(F.lit(1)).alias("features"),
+            F.sum("importance").alias("total"),
+            F.count_if(F.col("importance") < 0).alias("negative"),
+        )
+    )
+
+
+@query
+def attribution_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and base add up to the mean path, on every anomalous row."""
+    features = _stored_features(spark, sf_dir)
+    model, scores = forest.fit_and_score(features)
+    anomalous = scores.where("is_anomaly = 1").join(features, "event_id")
+    values = attribution.attributions(forest.raw_scores(anomalous, model), model, "values")
+    scale = float(forest.average_path(model.sample_size))
+    path = -F.log2(-F.col("raw_score")) * scale
+    total = F.aggregate("values", F.lit(attribution.base_value(model)), lambda a, x: a + x)
+    return values.agg(
+        (F.count(F.lit(1)) > 0).alias("any_row"), (F.max(F.abs(total - path)) < 1e-6).alias("sums_ok")
+    )
+
+
+@query
+def flagged_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions are appended to the explanations of flagged rows, and to no others."""
+    prepped = _prepped(spark, sf_dir)
+    features = build_features(prepped, keep=["command_line", "process_image"])
+    model, scored = forest.fit_and_score(features, keep=["command_line", "process_image", *FEATURES])
+    rows = attribution.append_attributions(gating.gate(scored)[0], model)
+    has = F.contains("explanation", F.lit("Top features:"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("flagged") & ~has).alias("flagged_without"),
+        F.count_if(~F.col("flagged") & has).alias("others_with"),
+    )
+
+
 @query
 def scored_with_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = process_events(spark, sf_dir)
@@ -655,18 +759,119 @@ def risk_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming alerts ---------------------------------------------------------
 
 
+# --- the jobs, through the tables they write --------------------------------------
+
+
 @query
-def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of the event stream against the snapshot of a batch run."""
+def job_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    output = scratch_path(spark, "job-ingest")
+    jobs.ingest_job(spark, _write_raw(spark, sf_dir, "job-logs"), output)
+    return spark.read.parquet(f"{output}/events.parquet").select(*CORE_COLUMNS, *TARGET_COLUMNS)
+
+
+def _feature_job(spark: SparkSession, sf_dir: str) -> str:
+    output = scratch_path(spark, "job-features")
+    jobs.feature_job(process_events(spark, sf_dir), output, eda=False, importances=False)
+    return output
+
+
+@query
+def job_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as the job stores them."""
+    output = _feature_job(spark, sf_dir)
+    return _rounded(spark.read.parquet(f"{output}/X_features.parquet"))
+
+
+@query
+def job_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    output = _feature_job(spark, sf_dir)
+    return artifacts.read_labels(spark, f"{output}/y_labels.parquet")
+
+
+def _gate_job(spark: SparkSession, sf_dir: str) -> str:
+    """The gate after the feature job, with ``value`` as the score."""
+    output = _feature_job(spark, sf_dir)
+    prepped = spark.read.parquet(f"{output}/events_prepped.parquet")
+    artifacts.save_scored(
+        prepped.withColumnRenamed("value", "anomaly_score").withColumn("is_anomaly", F.lit(0)),
+        f"{output}/scored_events.parquet",
+        by_source=True,
+    )
+    jobs.gate_job(spark, output, attributions=False)
+    return output
+
+
+@query
+def job_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated events as the job stores them, read back as the triage reads them."""
+    output = _gate_job(spark, sf_dir)
+    rows = intake.read_gated(spark, f"{output}/scored_events_gated.parquet")
+    return rows.select("event_id", "anomaly_score", "risk_level", "flagged", "explanation")
+
+
+@query
+def job_gate_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold in the stored JSON object."""
+    output = _gate_job(spark, sf_dir)
+    config = spark.read.json(f"{output}/threshold_config.json")
+    return _rounded(config.select("score_threshold", "shap_enabled"))
+
+
+@query
+def job_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two bands, from a CSV file through the triage job and its export."""
+    output = _gate_job(spark, sf_dir)
+    gated = spark.read.parquet(f"{output}/scored_events_gated.parquet")
+    gated.withColumn("timestamp", F.col("timestamp").cast("string")).drop("target_pid").write.option(
+        "header", True
+    ).option("escape", '"').csv(f"{output}/external.csv")
+    jobs.triage_job(spark, f"{output}/external.csv", levels=["Critical", "High"], export=f"{output}/alerts.csv")
+    back = spark.read.csv(f"{output}/alerts.csv", header=True, escape='"')
+    return back.select(F.col("event_id").cast("bigint").alias("event_id"), "risk_level")
+
+
+@query
+def intake_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are refused: by extension, missing columns, and none."""
+    folder = scratch_path(spark, "intake")
+    events = process_events(spark, sf_dir).withColumnRenamed("value", "anomaly_score")
+    events.write.parquet(f"{folder}/good.parquet")
+    events.drop("pid").write.parquet(f"{folder}/no_pid.parquet")
+    events.select("event_id").write.json(f"{folder}/events.json")
+    found = [
+        (name, intake.read_intake(spark, f"{folder}/{name}").events is not None)
+        for name in ("good.parquet", "no_pid.parquet", "events.json")
+    ]
+    return spark.createDataFrame(found, "file string, accepted boolean")
+
+
+@query
+def pid_depth_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths with a lookup too large to broadcast and few hot keys."""
+    prepped = _prepped(spark, sf_dir)
+    return pid_depth(prepped, graph_table(prepped), SHUFFLED).select("event_id", "pid_depth")
+
+
+@query
+def rare_pair_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepped = _prepped(spark, sf_dir)
+    rows = add_rare_parent_child(prepped, pair_table(prepped), SHUFFLED)
+    return _rounded(rows.select("event_id", "rare_parent_child"))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     prepped = _prepped(spark, sf_dir)
     scored = add_row_features(prepped).withColumnRenamed("value", "anomaly_score")
     bounds = gating.risk_bounds(scored)
-    snapshot = Snapshot(
+    return Snapshot(
         graph=graph_table(prepped),
         pairs=pair_table(prepped),
         bounds=bounds,
         threshold=bounds["High"],
     )
+
+
+def _stream_alerts(spark: SparkSession, sf_dir: str, snapshot: Snapshot) -> DataFrame:
     # A file stream wants a folder; the driver's table may be a single file.
     table = store(spark.read.parquet(f"{sf_dir}/events.parquet"), "alerts-in")
     events = spark.readStream.schema(table.df.schema).parquet(table.path)
@@ -678,10 +883,23 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch_path(spark, "alerts-checkpoint"),
         scorer=lambda rows: rows.withColumnRenamed("value", "anomaly_score"),
     ).awaitTermination()
-    alerts = spark.read.parquet(output)
     return _rounded(
-        alerts.select(
+        spark.read.parquet(output).select(
             "event_id", "pid_depth", "time_delta_parent", "rare_parent_child",
             "risk_level", "explanation",
         )
-    )
+    )
+
+
+@query
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the event stream against the snapshot of a batch run."""
+    return _stream_alerts(spark, sf_dir, _snapshot(spark, sf_dir))
+
+
+@query
+def stream_alerts_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a snapshot that was saved and loaded."""
+    path = scratch_path(spark, "snapshot")
+    save_snapshot(_snapshot(spark, sf_dir), path)
+    return _stream_alerts(spark, sf_dir, load_snapshot(spark, path))

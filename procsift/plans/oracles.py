@@ -690,3 +690,79 @@ _add(
 FROM gated JOIN feats USING (event_id) WHERE flagged""",
     ),
 )
+
+# --- the same results by other ways ----------------------------------------------
+
+for _name, _twin in {
+    "score_quantiles_split": "score_quantiles",
+    "pid_depth_shuffled": "feat_pid_depth",
+    "rare_pair_shuffled": "feat_rare_parent_child",
+    "job_ingest": "union_sources",
+    "job_features": "features_all",
+    "job_labels": "heuristic_labels",
+    "job_gate": "explanations",
+    "stream_alerts_reloaded": "stream_alerts",
+}.items():
+    _add(_name, ORACLES[_twin])
+_add(
+    "ingested_event_ids",
+    _sql(
+        "ev",
+        """SELECT row_number() OVER (ORDER BY CASE source WHEN 'falcon' THEN 0 WHEN 'security_4688' THEN 1 ELSE 2 END,
+    event_id) - 1 AS event_id, source, "timestamp", pid,
+  CASE WHEN source = 'falcon' THEN command_line ELSE nullif(command_line, '') END AS command_line FROM ev""",
+    ),
+)
+_add(
+    "any_label_overlap",
+    "SELECT 'all' AS labels, count(*) > 0 AS overlap FROM events UNION ALL SELECT 'shifted', false",
+)
+_add(
+    "intake_rejections",
+    """SELECT * FROM (VALUES ('good.parquet', true), ('no_pid.parquet', false), ('events.json', false))
+t("file", accepted) WHERE (SELECT count(*) FROM events) > 0""",
+)
+_add(
+    "job_gate_config",
+    _sql("bounds", "SELECT round(q05, 6) AS score_threshold, false AS shap_enabled FROM bounds"),
+)
+_add(
+    "job_triage",
+    _sql(
+        "gated",
+        "SELECT event_id, risk_level FROM gated WHERE flagged AND risk_level IN ('Critical', 'High')",
+    ),
+)
+_add(
+    "forest_shape",
+    _sql(
+        "prep",
+        """SELECT CAST(t.range AS INTEGER) AS tree, CAST(least(256, n) AS BIGINT) AS root_size,
+  CAST(least(256, n) AS BIGINT) AS leaf_rows, true AS depth_ok
+FROM range(150) t, (SELECT count(*) AS n FROM prep)""",
+    ),
+)
+_add(
+    "forest_alert_rate",
+    _sql("prep", "SELECT count(*) AS n_rows, true AS rate_ok, CAST(0 AS BIGINT) AS odd_rows FROM prep"),
+)
+_add(
+    "importance_sum",
+    _sql(
+        "prep",
+        f"""SELECT CAST({len(FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative
+FROM (SELECT count(*) AS n FROM prep) WHERE n > 0""",
+    ),
+)
+_add(
+    "attribution_sum",
+    _sql("prep", "SELECT count(*) > 0 AS any_row, true AS sums_ok FROM prep"),
+)
+_add(
+    "flagged_suffix",
+    _sql(
+        "prep",
+        """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS flagged_without, CAST(0 AS BIGINT) AS others_with
+FROM prep""",
+    ),
+)

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 _SCRATCH_KEY = "spark.procsift.scratch.dir"
 
+# A table of at most this size may be sent to every task.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the engine is tested under.
@@ -105,15 +108,16 @@ def store(df: DataFrame, label: str) -> Stored:
     )
 
 
-SPREAD_ROWS = 2_000_000
+# Beyond this a table has partitions enough for any cluster.
+MOST_PARTS = 20_000
 
 
-def spread_small(df: DataFrame, rows: int) -> DataFrame:
-    """Use every core for a costly step on a small table.
+def dealt_out(df: DataFrame, rows: int, per_part: int, *keys: str) -> DataFrame:
+    """Rows in a layout that follows from the data alone: by the hash of the
+    keys over one partition for each ``per_part`` rows, sorted by the keys.
 
-    A small file is one input split and would be one task. A table beyond
-    ``SPREAD_ROWS`` has splits enough and is left as it is.
+    For steps in Python that cost far more than moving a row, and for those
+    whose result would otherwise follow the layout of the input.
     """
-    if rows > SPREAD_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, min(MOST_PARTS, -(-rows // per_part)))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)

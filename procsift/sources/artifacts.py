@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsift.schema import FEATURES, RISK_QUANTILES, STRONG_INDICATOR_TEXT
@@ -95,10 +95,13 @@ def export_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def model_matrix(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """``event_id`` and the model's columns in order, missing values as 0."""
+def model_matrix(
+    df: DataFrame, features: list[str] | None = None, more: list[Column] | None = None
+) -> DataFrame:
+    """``event_id``, ``more``, and the model's columns in order, missing values as 0."""
     names = features or FEATURES
     return df.select(
         "event_id",
+        *(more or []),
         *[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names],
     )

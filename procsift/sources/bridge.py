@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procsift.session import spread_small
-
 # Sample images and commands of the view.
 IMAGES = [
     "C:/Windows/System32/cmd.exe",
@@ -93,12 +91,8 @@ def process_view(events: DataFrame) -> DataFrame:
 
 
 def process_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view over the driver's table; a small one is spread over all cores.
-
-    The row count comes from the Parquet footers.
-    """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return process_view(spread_small(events, events.count()))
+    """The view over the driver's table."""
+    return process_view(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 # --- raw lines, written from the view -----------------------------------------

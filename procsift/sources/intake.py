@@ -92,17 +92,30 @@ def check_events(df: DataFrame) -> Intake:
     return Intake(fill_risk_and_flagged(typed))
 
 
-def read_intake(spark: SparkSession, path: str, *, multi_line: bool = True) -> Intake:
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value of a CSV file may go over several lines.
+
+    A line with an odd number of quotes begins or ends such a value; without
+    any, every line is a record and the file can be read in splits.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_intake(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> Intake:
     """CSV (with header) or Parquet by extension, then the checks.
 
-    Quoted command lines may hold line breaks, so by default a CSV file is one
-    task; ``multi_line=False`` lets Spark split files known to have none.
+    A CSV file whose quoted values hold line breaks is read by one task each,
+    any other one in splits; one look at its lines decides, unless
+    ``multi_line`` does. Both ways give the same rows where both apply.
     """
     name = path.lower().rstrip("/")
     try:
         if name.endswith(".parquet"):
             df = spark.read.parquet(path)
         elif name.endswith(".csv"):
+            if multi_line is None:
+                multi_line = has_broken_lines(spark, path)
             df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
         else:
             return Intake(None, "not a .csv or .parquet file")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procsift.functions.ids import hex_id, numeric_id
 from procsift.functions.times import from_epoch_millis, from_epoch_seconds, parse_utc
 from procsift.schema import RAW_FILES, UNIFIED_SCHEMA
+from procsift.session import BROADCAST_BYTES, store
 from procsift.sources import rawlogs
 
 
@@ -36,7 +37,8 @@ def _unified(df: DataFrame, **columns: Column) -> DataFrame:
         *[
             columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in UNIFIED_SCHEMA.fields
-        ]
+        ],
+        *[c for c in df.columns if c in _PLACE],
     )
 
 
@@ -121,13 +123,42 @@ def union_events(parts: list[DataFrame]) -> DataFrame:
     return combined
 
 
+# Where a row came from, on its way to an id.
+_PLACE = ["_source", "_file", "_block", "_at"]
+
+
+def with_places(lines: DataFrame, source: int) -> DataFrame:
+    """Lines of a file scan with their source, file and split."""
+    return lines.select(
+        "*",
+        F.lit(source).alias("_source"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+
+
 def with_event_id(events: DataFrame) -> DataFrame:
-    """Add ``event_id`` in front: unique, rising with source and file order.
+    """``event_id`` in front, in the place of the place columns: 0, 1, 2, ...
+    in the order of sources, files by name, and lines.
 
-    The value is fixed for one set of input splits. Write the frame once and
-    read it back before using it in more than one job (the ingest job does).
+    Rows are counted for each split of a file; the running sum over the splits
+    is where a split's ids begin. However the files are split, and whichever
+    task reads a split, a row has the same id. The rows are stored once, and
+    the table of splits is small: some hundred bytes for each of them.
     """
-    return events.select(F.monotonically_increasing_id().alias("event_id"), "*")
+    rows = store(events, "numbered").df
+    split = ["_source", "_file", "_block"]
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = store(
+        rows.groupBy(*split)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+        .select(*split, "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")),
+        "splits",
+    )
+    table = F.broadcast(starts.df) if starts.bytes <= BROADCAST_BYTES else starts.df
+    event_id = F.col("_base") + F.col("_at") - F.col("_first")
+    kept = [c for c in events.columns if c not in _PLACE]
+    return rows.join(table, split).select(event_id.alias("event_id"), *kept)
 
 
 def _existing_text(spark: SparkSession, path: str) -> DataFrame | None:
@@ -161,11 +192,13 @@ def combined_events(
     """Every source of the directory, normalised and united, with ids."""
     lines = raw_lines(spark, data_dir, files)
     if not lines:
-        return with_event_id(spark.createDataFrame([], UNIFIED_SCHEMA))
-    parts = [
-        to_unified(
-            rawlogs.good_rows(rawlogs.PARSERS[source](frame)), source, timestamp_mode
+        return spark.createDataFrame([], UNIFIED_SCHEMA).select(
+            F.lit(0).cast("bigint").alias("event_id"), "*"
         )
-        for source, frame in lines.items()
-    ]
+    parts = []
+    for i, (source, frame) in enumerate(lines.items()):
+        good = rawlogs.good_rows(rawlogs.PARSERS[source](with_places(frame, i)))
+        # Counted behind the filter, so good rows have no gaps between them.
+        counted = good.withColumn("_at", F.monotonically_increasing_id())
+        parts.append(to_unified(counted, source, timestamp_mode))
     return with_event_id(union_events(parts))

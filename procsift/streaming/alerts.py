@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from procsift.functions.times import seconds_between
 from procsift.operators.features import add_rare_parent_child, add_row_features
-from procsift.operators.forest import Forest, score
+from procsift.operators.forest import Forest, load_forest, save_forest, score
 from procsift.operators.gating import add_explanations, add_flagged, add_risk_level
 from procsift.operators.lookup import DEFAULT_LIMITS, LookupLimits, lookup
 from procsift.operators.prep import prep_events
@@ -35,6 +35,37 @@ class Snapshot:
     forest: Forest | None = None
 
 
+def save_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Everything a later stream needs, as Parquet tables below ``path``."""
+    spark = snapshot.graph.df.sparkSession
+    for name, table in (("graph", snapshot.graph), ("pairs", snapshot.pairs)):
+        table.df.write.mode("overwrite").parquet(f"{path}/{name}")
+    sizes = [(name, t.rows, t.bytes) for name, t in (("graph", snapshot.graph), ("pairs", snapshot.pairs))]
+    spark.createDataFrame(sizes, _SIZES).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+    limits = [(k, v) for k, v in {**snapshot.bounds, _THRESHOLD: snapshot.threshold}.items()]
+    spark.createDataFrame(limits, "name string, value double").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/limits"
+    )
+    if snapshot.forest is not None:
+        save_forest(snapshot.forest, f"{path}/forest")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """A snapshot that an earlier session saved; without a forest if it had none."""
+    sizes = {r["name"]: r for r in spark.read.parquet(f"{path}/sizes").collect()}  # two rows
+    tables = {
+        name: Stored(spark.read.parquet(f"{path}/{name}"), f"{path}/{name}", r["rows"], r["bytes"])
+        for name, r in sizes.items()
+    }
+    limits = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/limits").collect()}  # a row for each band
+    threshold = limits.pop(_THRESHOLD)
+    return Snapshot(tables["graph"], tables["pairs"], limits, threshold, load_forest(spark, f"{path}/forest"))
+
+
+_SIZES = "name string, rows bigint, bytes bigint"
+_THRESHOLD = "gate threshold"
+
+
 def snapshot_features(
     prepped: DataFrame, snapshot: Snapshot, limits: LookupLimits = DEFAULT_LIMITS
 ) -> DataFrame:
@@ -81,7 +112,7 @@ def gate_events(
     ``scorer`` adds ``anomaly_score``; by default the snapshot's forest does.
     """
     if "event_id" not in events.columns:
-        events = events.withColumn("event_id", F.monotonically_increasing_id())
+        raise ValueError("events need an event_id: ids made up for one batch repeat in the next")
     rows = snapshot_features(prep_events(events), snapshot, limits)
     if scorer is not None:
         rows = scorer(rows)

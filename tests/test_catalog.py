@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF_DIR
+from procsift.plans.catalog import QUERIES
+from procsift.plans.oracles import ORACLES
 from verify import canonical, connect, oracle_rows
 
 ONLY_ROWS = {"rf_importance", "forest_scores", "forest_alerts", "attribution"}
@@ -17,11 +19,12 @@ def twins():
 
 
 def test_every_query_has_a_twin_but_the_fitted_models():
-    assert set(queries()) - set(oracle_sql()) == ONLY_ROWS
+    assert set(QUERIES) - set(ORACLES) == ONLY_ROWS
+    assert set(ORACLES) <= set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_twin(spark, twins, name):
     df = queries()[name](spark, SF_DIR)
     rows, columns = oracle_rows(twins, oracle_sql()[name])

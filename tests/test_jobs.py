@@ -13,7 +13,7 @@ from procsift.operators.features import graph_table, pair_table
 from procsift.operators.prep import prep_events
 from procsift.plans import jobs
 from procsift.schema import CORE_COLUMNS, FEATURES, RAW_FILES, TARGET_COLUMNS
-from procsift.session import scratch_root, spread_small, store
+from procsift.session import dealt_out, scratch_root, store
 from procsift.sources.bridge import RAW_TEXT, process_events
 from procsift.sources.unified import combined_events
 from procsift.streaming.alerts import Snapshot, gate_events, start_alerts
@@ -206,7 +206,8 @@ def test_only_local_sessions_may_lack_a_checkpoint_folder(spark):
         scratch_root(Session(spark__master="yarn"))
 
 
-def test_spread_small(spark):
-    assert spread_small(spark.range(10).coalesce(1), 10).rdd.getNumPartitions() == 8
-    many = spark.range(10).coalesce(1)
-    assert spread_small(many, 10**9) is many
+def test_layout_follows_from_the_rows(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "event_id")
+    one, many = (dealt_out(rows.repartition(n), 1000, 300, "event_id") for n in (1, 13))
+    assert one.rdd.getNumPartitions() == 4
+    assert one.rdd.glom().collect() == many.rdd.glom().collect()

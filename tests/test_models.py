@@ -221,3 +221,40 @@ def test_importances(spark):
     got = importance.rf_importance(df, ["a", "b"], trees=10, depth=3).collect()
     assert got[0].feature == "a" and sum(r.importance for r in got) == pytest.approx(1.0)
     assert importance.rf_importance(df.where("a = 1"), ["a", "b"]).count() == 0
+
+
+def test_importances_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), int(a + 0.3 * b > 0.6)) for i, (a, b) in enumerate(rng.random((400, 2)))]
+    df = spark.createDataFrame(rows, "event_id bigint, a double, b double, is_attack int")
+    found = [
+        importance.rf_importance(df.repartition(n), ["a", "b"], trees=10, depth=4).collect() for n in (1, 4, 13)
+    ]
+    assert found[0] == found[1] == found[2] and found[0][0]["feature"] == "a"
+
+
+def test_too_large_a_forest_is_refused_before_the_fit(spark):
+    with pytest.raises(ValueError, match="nodes"):
+        forest.fit_and_score(None, trees=100_000, max_samples=4096)
+
+
+def test_snapshot_with_a_forest_survives_saving(spark, tmp_path):
+    from procsift.plans.catalog import _prepped
+    from procsift.operators.features import build_features, graph_table, pair_table
+    from procsift.streaming.alerts import Snapshot, gate_events, load_snapshot, save_snapshot
+
+    prepped = _prepped(spark, "/root/testdata/sf0.001").drop("value")
+    model = forest.fit(build_features(prepped), trees=5)
+    bounds = {"Critical": -0.1, "High": 0.0, "Medium": 0.1, "Low": 0.2}
+    snapshot = Snapshot(graph_table(prepped), pair_table(prepped), bounds, 0.0, model)
+    save_snapshot(snapshot, str(tmp_path / "s"))
+    loaded = load_snapshot(spark, str(tmp_path / "s"))
+    assert (loaded.bounds, loaded.threshold) == (bounds, 0.0)
+    events = prepped.select("event_id", *[c for c in prepped.columns if c not in ("event_id",) and not c.endswith("_base")])
+    one, two = (
+        gate_events(events, s).select("event_id", "anomaly_score", "flagged").orderBy("event_id").collect()
+        for s in (snapshot, loaded)
+    )
+    assert one == two and len(one) == prepped.count()
+    with pytest.raises(ValueError, match="event_id"):
+        gate_events(events.drop("event_id"), snapshot)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,11 +100,29 @@ def test_strong_indicator_without_columns(spark):
     assert df.select(gating.strong_indicator(df)).first()[0] is False
 
 
-def test_gate_needs_score_and_indicator(spark, scored_rows):
-    flagged, threshold = gating.add_flagged(scored_rows, 5.0)
-    assert threshold == 5.0
-    assert [r.event_id for r in flagged.where("flagged").orderBy("event_id").collect()] == [1, 2, 3]
-    assert gating.add_flagged(scored_rows, -100.0)[0].where("flagged").count() == 0
+@pytest.mark.parametrize("max_values", [50, 10**6])
+def test_quantiles_are_the_same_either_way(spark, max_values):
+    """Bit for bit what the sorted values give, infinities included."""
+    rng = np.random.default_rng(4)
+    values = [*rng.normal(0, 1, 3000).tolist(), *[0.25] * 500]
+    probs = [0.0, 0.02, 0.05, 0.33, 0.5, 0.98, 1.0]
+    for extra in ([], [-math.inf] * 90, [math.inf] * 90 + [-math.inf]):
+        every = sorted(values + extra)
+        want = []
+        for p in probs:
+            at = (len(every) - 1) * p
+            k = math.floor(at)
+            a, b, share = every[k], every[min(k + 1, len(every) - 1)], at - k
+            want.append(a if a == b or share == 0 else (1 - share) * a + share * b)
+        df = spark.createDataFrame([(v,) for v in values + extra + [None, math.nan]], "anomaly_score double")
+        assert exact_quantiles(df, "anomaly_score", probs, max_values=max_values) == want
+
+
+def test_gate_needs_score_and_indicator(spark, graded_rows):
+    flagged, threshold = gating.add_flagged(graded_rows, 0.0)
+    assert threshold == 0.0
+    assert [r.event_id for r in flagged.where("flagged").orderBy("event_id").collect()] == [0, 3, 6, 9, 12]
+    assert gating.add_flagged(graded_rows, -100.0)[0].where("flagged").count() == 0
     _, default = gating.add_flagged(scores(spark, range(100), suspicious_parent=1))
     assert default == pytest.approx(float(np.quantile(range(100), 0.05)))
     missing = gating.add_flagged(scores(spark, [None, 1, 2], suspicious_parent=1), 1.5)[0]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from procsift.schema import CORE_COLUMNS, RAW_FILES, TARGET_COLUMNS
 from procsift.sources import artifacts, intake, rawlogs
 from procsift.sources.bridge import NAMESPACE
-from procsift.sources.unified import combined_events, to_unified, with_event_id
+from procsift.sources.intake import has_broken_lines, read_intake
+from procsift.sources.unified import combined_events, to_unified
 
 
 def lines(spark, texts):
@@ -130,20 +131,39 @@ def test_combined_events_skip_missing_files(spark, tmp_path):
     assert len({r.event_id for r in rows}) == 3
 
 
-def test_row_ids_follow_file_order_over_many_splits(spark, tmp_path):
-    path = tmp_path / "big.txt"
-    path.write_text("".join(f"{i:06d}\n" for i in range(20000)))
-    size, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+@pytest.mark.parametrize("split", ["700", "134217728"])
+def test_ids_follow_files_and_lines_for_any_split(spark, tmp_path, split):
+    """The second file is larger, so Spark reads it first; bad lines leave no gaps."""
+    folder = tmp_path / RAW_FILES["falcon"]
+    folder.mkdir()
+    record = GOOD_JSON.replace("}", ', "CommandLine": "%d"}')
+    lines = [record % i if i % 7 else "{broken" for i in range(120)]
+    (folder / "part-1").write_text("\n".join(lines[:5]) + "\n")
+    (folder / "part-2").write_text("\n".join(lines[5:]) + "\n")
+    (tmp_path / RAW_FILES["sysmon"]).write_text(event(1, [("Image", "a.exe"), ("CommandLine", "last")]) + "\n")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-        spark.conf.set("spark.sql.files.openCostInBytes", "1")
-        frame = with_event_id(spark.read.text(str(path)))
-        assert frame.rdd.getNumPartitions() > 4
-        values = [r.value for r in frame.orderBy("event_id").collect()]
+        spark.conf.set(keys[0], split)
+        spark.conf.set(keys[1], "1")
+        rows = combined_events(spark, str(tmp_path)).orderBy("event_id").collect()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        spark.conf.set("spark.sql.files.openCostInBytes", cost)
-    assert values == sorted(values)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [str(i) for i in range(120) if i % 7] + ["last"]
+    assert [(r.event_id, r.command_line) for r in rows] == list(enumerate(want))
+
+
+def test_csv_is_read_in_splits_where_no_value_is_broken(spark, tmp_path):
+    head = "timestamp,image,parent_image,command_line,pid,ppid,event_type\n"
+    plain = head + '2024-01-01 12:00:00,a.exe,b.exe,"say ""hi"", x",1,2,1\n'
+    broken = head + '2024-01-01 12:00:00,a.exe,b.exe,"two\nlines",1,2,1\n'
+    for name, text, several in (("plain.csv", plain, False), ("broken.csv", broken, True)):
+        (tmp_path / name).write_text(text)
+        path = str(tmp_path / name)
+        assert has_broken_lines(spark, path) is several
+        auto, whole = read_intake(spark, path).events, read_intake(spark, path, multi_line=True).events
+        assert auto.collect() == whole.collect() and auto.count() == 1
 
 
 INTAKE = {
