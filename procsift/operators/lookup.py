@@ -4,8 +4,9 @@ Three plans, picked by measured size, all with the same result:
 
 * the table was measured while it was written and is small: broadcast it, the
   events are not shuffled;
-* otherwise the values of the most frequent keys (a fixed number of them, none
-  with more than a kilobyte of text) are broadcast, and only the remaining keys meet in a shuffle join. Events that
+* otherwise the values of the most frequent keys (a fixed number of them) are
+  broadcast under a digest of the key, so that their size doesn't depend on how
+  long keys are, and only the remaining keys meet in a shuffle join. Events that
   are already served, or have no key, are spread over all partitions by their
   row id, so no partition collects a hot key.
 """
@@ -14,14 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from procsift.session import BROADCAST_BYTES, Stored
 
 HOT_KEYS = 10_000
-HOT_TEXT_BYTES = 1024
 _SPREAD = 1 << 20
 
 
@@ -36,6 +35,15 @@ class LookupLimits:
 DEFAULT_LIMITS = LookupLimits()
 
 
+def _digest(keys: list[str]) -> Column:
+    """128 bits that stand for the key columns together; null if one is null."""
+    parts = []
+    for k in keys:
+        text = F.col(k).cast("string")
+        parts += [F.octet_length(text).cast("string"), F.lit(":"), text]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def lookup(
     events: DataFrame,
     table: Stored,
@@ -65,20 +73,20 @@ def lookup(
     if weight is not None:
         ranked = table.df.select(*wanted, F.col(weight).alias("_w"))
     else:
-        frequency = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
-        top = frequency.orderBy(F.desc("_w")).limit(limits.hot_keys)
-        ranked = table.df.select(*wanted).join(F.broadcast(top), list(keys))
-    text = [f.name for f in ranked.schema.fields if isinstance(f.dataType, T.StringType)]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(0))
+        frequency = left.select(_digest(list(keys)).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_w"))
+        top = frequency.where(F.col("_key").isNotNull()).orderBy(F.desc("_w"), "_key").limit(limits.hot_keys)
+        keyed = table.df.select(*wanted).withColumn("_key", _digest(list(keys)))
+        ranked = keyed.join(F.broadcast(top), "_key").drop("_key")
     hot = (
-        ranked.where(width <= HOT_TEXT_BYTES)
-        .orderBy(F.desc("_w"), *keys)
+        ranked.select(_digest(list(keys)).alias("_key"), "_w", *[f"_v_{n}" for n in values.values()])
+        .where(F.col("_key").isNotNull())
+        .orderBy(F.desc("_w"), "_key")
         .limit(limits.hot_keys)
         .drop("_w")
         .withColumnsRenamed({f"_v_{n}": f"_h_{n}" for n in values.values()})
         .withColumn("_hot", F.lit(1))
     )
-    served = left.join(F.broadcast(hot), list(keys), "left")
+    served = left.withColumn("_key", _digest(list(keys))).join(F.broadcast(hot), "_key", "left").drop("_key")
 
     has_key = F.lit(True)
     for k in keys:

@@ -3,7 +3,9 @@ run, repeated and resumed on its own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,24 @@ from procsift.operators.prep import (
     prep_events,
     suspicious_match,
 )
-from procsift.schema import FEATURES, RISK_QUANTILES
+from procsift.schema import FEATURES, RAW_FILES, RISK_QUANTILES
+from procsift.session import scratch_scope
 from procsift.sources import artifacts
 from procsift.sources.intake import Intake, read_intake
 from procsift.sources.rawlogs import PARSERS, malformed_counts
 from procsift.sources.unified import combined_events, raw_lines
+from procsift.streaming import alerts, ingest
+
+def _clean(job: Callable) -> Callable:
+    """Drop a job's scratch tables once its output is written."""
+
+    @wraps(job)
+    def run(first: SparkSession | DataFrame, *args, **settings):
+        with scratch_scope(first if isinstance(first, SparkSession) else first.sparkSession):
+            return job(first, *args, **settings)
+
+    return run
+
 
 SUSPICIOUS_COLUMNS = ["timestamp", "event_type", "process_image", "parent_image", "command_line"]
 
@@ -55,6 +70,7 @@ def raw_report(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
     return report
 
 
+@_clean
 def ingest_job(
     spark: SparkSession, data_dir: str, output: str, *, timestamp_mode: str = "column"
 ) -> dict[str, DataFrame]:
@@ -78,6 +94,7 @@ def eda_report(features: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+@_clean
 def feature_job(
     events: DataFrame,
     output: str,
@@ -93,6 +110,7 @@ def feature_job(
     prepped.write.mode("overwrite").parquet(f"{output}/events_prepped.parquet")
     prepped = spark.read.parquet(f"{output}/events_prepped.parquet")
     graph, pairs = graph_table(prepped), pair_table(prepped)
+    alerts.save_tables(graph, pairs, f"{output}/snapshot")
     features = build_features(prepped, graph=graph, pairs=pairs)
     features.write.mode("overwrite").parquet(f"{output}/X_features.parquet")
     features = spark.read.parquet(f"{output}/X_features.parquet")
@@ -131,6 +149,7 @@ def score_report(
     return report
 
 
+@_clean
 def score_job(
     spark: SparkSession,
     output: str,
@@ -177,6 +196,7 @@ def gate_report(
     return report
 
 
+@_clean
 def gate_job(
     spark: SparkSession,
     output: str,
@@ -198,6 +218,7 @@ def gate_job(
     bounds = gating.risk_bounds(scored)
     threshold = bounds["High"] if score_threshold is None else score_threshold
     gated = gating.add_risk_level(merged, bounds=bounds)
+    alerts.save_limits(spark, bounds, threshold, f"{output}/snapshot")
     gated, threshold = gating.add_flagged(gated, threshold)
     gated = gating.add_explanations(gated)
     model = forest.load_forest(spark, model_path or f"{output}/forest") if attributions else None
@@ -260,3 +281,27 @@ def triage_job(
     if export:
         artifacts.export_rows(rows, export)
     return Triage(intake, rows, triage_report(intake.events))
+
+
+# --- streams ------------------------------------------------------------------
+
+
+def stream_ingest_job(
+    spark: SparkSession, data_dir: str, output: str, *, max_files: int | None = None
+) -> None:
+    """New files of the raw logs' folders, each once, to ``events_stream.parquet``."""
+    folders = {s: f"{data_dir.rstrip('/')}/{name}" for s, name in RAW_FILES.items()}
+    ingest.start_ingest(
+        spark, folders, f"{output}/events_stream.parquet", f"{output}/events_checkpoint", max_files=max_files
+    ).awaitTermination()
+
+
+def stream_alerts_job(spark: SparkSession, events_path: str, output: str) -> None:
+    """New files of an event table with ids, gated against the snapshot and the
+    forest that the batch jobs left in ``output``, to ``alerts_stream``."""
+    snapshot = alerts.load_snapshot(spark, f"{output}/snapshot", f"{output}/forest")
+    schema = spark.read.parquet(events_path).schema
+    events = spark.readStream.schema(schema).parquet(events_path)
+    alerts.start_alerts(
+        events, snapshot, f"{output}/alerts_stream", f"{output}/alerts_checkpoint"
+    ).awaitTermination()

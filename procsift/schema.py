@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# ---------------------------------------------------------------------------
+# Fixed layouts: column names and their order are part of every stored table
+# and of the model, so they must be what users' other tools expect.
+# ---------------------------------------------------------------------------
+
 CORE_COLUMNS = [
     "timestamp",
     "event_type",
@@ -134,6 +139,7 @@ STRONG_INDICATOR_TEXT = (
 )
 
 SHORT_COMMAND = 80
+# Fixed layout: the columns of an external alert file.
 INTAKE_COLUMNS = [
     "timestamp",
     "process_image",
@@ -144,7 +150,7 @@ INTAKE_COLUMNS = [
     "event_type",
 ]
 
-# Default names of the three raw logs in a data directory.
+# The default names of the three raw logs in a data directory.
 RAW_FILES = {
     "falcon": "crowdstrike_falcon.txt",
     "security_4688": "4688_windows-security.txt",

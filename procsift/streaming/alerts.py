@@ -35,23 +35,37 @@ class Snapshot:
     forest: Forest | None = None
 
 
-def save_snapshot(snapshot: Snapshot, path: str) -> None:
-    """Everything a later stream needs, as Parquet tables below ``path``."""
-    spark = snapshot.graph.df.sparkSession
-    for name, table in (("graph", snapshot.graph), ("pairs", snapshot.pairs)):
+def save_tables(graph: Stored, pairs: Stored, path: str) -> None:
+    """The tables of a snapshot, with the sizes that decide how they are joined."""
+    tables = {"graph": graph, "pairs": pairs}
+    for name, table in tables.items():
         table.df.write.mode("overwrite").parquet(f"{path}/{name}")
-    sizes = [(name, t.rows, t.bytes) for name, t in (("graph", snapshot.graph), ("pairs", snapshot.pairs))]
-    spark.createDataFrame(sizes, _SIZES).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
-    limits = [(k, v) for k, v in {**snapshot.bounds, _THRESHOLD: snapshot.threshold}.items()]
+    sizes = [(name, t.rows, t.bytes) for name, t in tables.items()]
+    graph.df.sparkSession.createDataFrame(sizes, _SIZES).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/sizes"
+    )
+
+
+def save_limits(
+    spark: SparkSession, bounds: dict[str, float | None], threshold: float | None, path: str
+) -> None:
+    """The band bounds and the gate's threshold of a snapshot."""
+    limits = list({**bounds, _THRESHOLD: threshold}.items())
     spark.createDataFrame(limits, "name string, value double").coalesce(1).write.mode("overwrite").parquet(
         f"{path}/limits"
     )
+
+
+def save_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Everything a later stream needs, as Parquet tables below ``path``."""
+    save_tables(snapshot.graph, snapshot.pairs, path)
+    save_limits(snapshot.graph.df.sparkSession, snapshot.bounds, snapshot.threshold, path)
     if snapshot.forest is not None:
         save_forest(snapshot.forest, f"{path}/forest")
 
 
-def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """A snapshot that an earlier session saved; without a forest if it had none."""
+def load_snapshot(spark: SparkSession, path: str, forest_path: str | None = None) -> Snapshot:
+    """A snapshot that an earlier session saved; without a forest if there is none."""
     sizes = {r["name"]: r for r in spark.read.parquet(f"{path}/sizes").collect()}  # two rows
     tables = {
         name: Stored(spark.read.parquet(f"{path}/{name}"), f"{path}/{name}", r["rows"], r["bytes"])
@@ -59,7 +73,8 @@ def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
     }
     limits = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/limits").collect()}  # a row for each band
     threshold = limits.pop(_THRESHOLD)
-    return Snapshot(tables["graph"], tables["pairs"], limits, threshold, load_forest(spark, f"{path}/forest"))
+    forest = load_forest(spark, forest_path or f"{path}/forest")
+    return Snapshot(tables["graph"], tables["pairs"], limits, threshold, forest)
 
 
 _SIZES = "name string, rows bigint, bytes bigint"

@@ -211,3 +211,22 @@ def test_layout_follows_from_the_rows(spark):
     one, many = (dealt_out(rows.repartition(n), 1000, 300, "event_id") for n in (1, 13))
     assert one.rdd.getNumPartitions() == 4
     assert one.rdd.glom().collect() == many.rdd.glom().collect()
+
+
+def test_jobs_leave_no_scratch_tables(spark, raw_folder, tmp_path):
+    import os
+
+    from procsift.plans import jobs
+
+    root = scratch_root(spark).removeprefix("file://")
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    output = str(tmp_path / "out")
+    jobs.ingest_job(spark, raw_folder, output)
+    events = spark.read.parquet(f"{output}/events.parquet")
+    jobs.feature_job(events, output, importances=False)
+    jobs.score_job(spark, output, trees=5)
+    report = jobs.gate_job(spark, output)
+    assert set(os.listdir(root)) == before
+    assert report["config"].count() == 1 and report["top_flagged"].count() >= 0
+    assert set(os.listdir(f"{output}/snapshot")) == {"graph", "pairs", "sizes", "limits"}
