@@ -273,14 +273,20 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     copies, with all their columns. Of rows that repeat a doc_id the least one stays; rows
     without a doc_id all stay."""
     found = stored(near_copies(docs, **options), "near-copy-classes")
-    away, again = fresh(docs, "_gone"), fresh(docs, "_again")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(away))
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = repeated.where("doc_id is not null").select(F.col("doc_id").alias(again))
-    stay = docs.join(gone.distinct(), docs["doc_id"] == F.col(away), "left_anti")
-    single = stay.join(repeated, stay["doc_id"] == F.col(again), "left_anti")
+    away = fresh(docs, "_away")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    repeated = stored(
+        found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("doc_id"),
+        "repeated-ids",
+    )
+    apart = gone.unionAll(repeated).distinct().withColumnRenamed("doc_id", away)
+    single = docs.join(apart, docs["doc_id"] == F.col(away), "left_anti")
+    if repeated.isEmpty():
+        return single
+    again = repeated.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", away)
     several = (
-        stay.join(repeated, stay["doc_id"] == F.col(again), "left_semi")
+        docs.join(again, docs["doc_id"] == F.col(away), "left_semi")
         .groupBy("doc_id")
         .agg(F.min(F.struct(*docs.columns)).alias("row"))
         .select("row.*")
