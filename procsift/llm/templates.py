@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsift.llm.common import fresh, stored, text_of
@@ -15,6 +15,8 @@ MIN_WORDS = 5
 #: Of a window's words, at least so many are no placeholders.
 MIN_LITERALS = 5
 COVERAGE = 0.5
+#: Part of an item is a leak too if so many words of it stand in line.
+RUN_WORDS = 13
 #: Anchors of a benchmark up to this number are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -93,7 +95,7 @@ def _hash(words: Column, start: Column, length: Column) -> Column:
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, item_windows, length, item_pos, hash, item_values, anchor, at)
-    of all windows of all items.
+    of all windows of all items that have enough literal words.
 
     An item of fewer words than a window is one window of its own length. The
     anchor is the hash of a window's longest literal word, ``at`` its place.
@@ -108,9 +110,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = rows.where(F.size("words") >= MIN_WORDS).select(
         "*",
         length.alias("length"),
-        (F.size("words") - length + 1).alias("item_windows"),
+        F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("item_pos"),
     )
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("item_windows") - 1)).alias("item_pos"))
     words = F.slice(F.col("words"), F.col("item_pos") + 1, F.col("length"))
     literals = F.filter(
         F.transform(
@@ -124,7 +125,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         .withColumn("longest", F.array_max("literals"))
         .select(
             "item_id",
-            "item_windows",
+            F.count(F.lit(1)).over(Window.partitionBy("item_id")).alias("item_windows"),
             "length",
             "item_pos",
             _hash(F.col("words"), F.col("item_pos"), F.col("length")).alias("hash"),
@@ -169,16 +170,19 @@ def contamination(
     benchmark: DataFrame,
     window: int = WINDOW,
     coverage: float = COVERAGE,
+    run_words: int = RUN_WORDS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage) of each document
+    """(doc_id, item_id, n_windows, item_windows, coverage, aligned) of each document
     that holds a benchmark item, as it is or with other numbers, names or units.
 
     Template windows of ``window`` words are joined by hash. Matches of one
     document and item at one distance of their places belong to one occurrence;
     it counts if its slots are consistent, that is, if equal values of the item
     have equal values in the document throughout. ``coverage`` is the share of
-    the item's windows that consistent occurrences match.
+    the item's windows that consistent occurrences match, ``aligned`` the most
+    windows that one of them does. A document holds an item from a share of
+    ``coverage`` on, or from as many aligned windows as ``run_words`` words have.
 
     Null and empty texts have no window. Items under five words are never
     reported. Rows that repeat a doc_id or an item_id count once, texts of one
@@ -229,15 +233,17 @@ def contamination(
         F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     )
     return (
-        consistent.select(*key, F.explode("at").alias("at"))
-        .distinct()
+        consistent.select(*key, F.size("at").cast("bigint").alias("aligned"), F.explode("at").alias("at"))
+        .groupBy(*key, "at")
+        .agg(F.max("aligned").alias("aligned"))
         .groupBy("doc_id", "item_id")
         .agg(
-            F.count_distinct("at").alias("n_windows"),
+            F.count(F.lit(1)).alias("n_windows"),
             F.max("item_windows").cast("bigint").alias("item_windows"),
+            F.max("aligned").alias("aligned"),
         )
         .withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
-        .where(F.col("coverage") >= coverage)
+        .where((F.col("coverage") >= coverage) | (F.col("aligned") > run_words - window))
     )
 
 

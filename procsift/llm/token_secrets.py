@@ -32,8 +32,12 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 MAX_RATIO = 2.0
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
+#: Numbers with separators, UUIDs, and words of two letters or more in one case
+#: (or capitalised) with short numbers. Possessive, so that nothing is tried twice.
 IDENTIFIER = re.compile(
-    r"[0-9]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:[A-Za-z]+[0-9]{0,4}[/_=+-]*)+|[0-9/_=+-]+"
+    r"[0-9/_=+-]+"
+    r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+    r"|(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,4}+|(?<=[/_=+-])[0-9]{1,4}+|[/_=+-]++)++"
 )
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 

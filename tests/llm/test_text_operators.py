@@ -26,14 +26,16 @@ def test_templates(spark, broadcast_rows):
             (3, f"so it goes: {BROKEN}!"),
             (4, "A train is late again and nobody in the old station knows why that may be so"),
             (5, None),
+            (6, "see here: a train that carries Anna leaves the old station at 7 km per hour on most days"),
+            (7, "see here: a train that carries Anna leaves the old harbour at 7 km per hour on most days"),
         ],
         "doc_id long, text string",
     )
     items = spark.createDataFrame([(7, ITEM), (8, "six short words of a title"), (9, "too short")], "item_id long, text string")
     rows = {r["doc_id"]: r for r in templates.contamination(docs, items, broadcast_rows=broadcast_rows).collect()}
-    assert set(rows) == {1, 2}
+    assert set(rows) == {1, 2, 6}
     assert rows[1]["coverage"] == rows[2]["coverage"] == 1.0
-    assert {r["doc_id"] for r in templates.decontaminated(docs, items).collect()} == {3, 4, 5}
+    assert {r["doc_id"] for r in templates.decontaminated(docs, items).collect()} == {3, 4, 5, 7}
 
 
 def test_templates_find_what_plain_windows_find(spark):
@@ -76,6 +78,15 @@ def test_secrets():
         assert spans(f"1 {known} 1") == []
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for text in ("aB" * 100_000 + "1", "a" * 200_000 + "B1", "x1-" * 60_000, "0" * 200_000, "token" * 40_000):
+        spans(text)
+    assert time.process_time() - start < 20
+
+
 def test_secret_redaction():
     text = "a token=abcdefgh12 b"
     found = [(token_secrets.KINDS[k], a, b) for a, k, b in token_secrets.find_spans(text.encode(), encoding())]
