@@ -247,22 +247,18 @@ def feature_histograms(
 ) -> DataFrame:
     """Left-closed bins of the first features: ``min(50, max(10, distinct))``.
 
-    A sketch tells which columns surely have 50 distinct values and more; only
-    the others are counted exactly, as sets that stay small.
+    Whether a column has fewer than 50 distinct values is counted exactly, and
+    no further than that.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns][:first]
     spread = _spread(features, names).first()
-    sketch = features.agg(
-        *[F.approx_count_distinct(F.col(c).cast("double")).alias(c) for c in names]
-    ).first()
-    few = [c for c in names if sketch[c] <= 200]
-    exact = features.agg(*[F.size(F.collect_set(c)).alias(c) for c in few]).first() if few else {}
     entries = []
     shapes = []
     for i, c in enumerate(names):
         if spread[f"n{i}"] == 0:
             continue
-        distinct = exact[c] if c in few else 50
+        present = features.select(c).where(F.col(c).isNotNull())
+        distinct = present.distinct().limit(50).count()
         bins = min(50, max(10, distinct))
         low, high = _limits(spread[f"lo{i}"], spread[f"hi{i}"])
         value = F.col(c).cast("double")

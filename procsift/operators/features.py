@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +127,8 @@ def pair_counts(events: DataFrame) -> DataFrame:
 
 
 def pair_table(events: DataFrame) -> Stored:
-    return store(pair_counts(events), "pairs")
+    pairs = store(pair_counts(events), "pairs")
+    return replace(pairs, total=pairs.df.agg(F.sum("n")).scalar() or 0)
 
 
 def add_rare_parent_child(
@@ -146,8 +149,7 @@ def add_rare_parent_child(
         weight="n",
         limits=limits,
     )
-    total = pairs.df.agg(F.sum("n")).scalar()
-    rarity = F.lit(1.0) - F.col("_pair_n").cast("double") / total
+    rarity = F.lit(1.0) - F.col("_pair_n").cast("double") / F.lit(max(pairs.total, 1))
     return found.withColumn("rare_parent_child", rarity).drop("_parent", "_child", "_pair_n")
 
 

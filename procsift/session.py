@@ -91,12 +91,14 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 @dataclass(frozen=True)
 class Stored:
-    """A table written to the scratch folder, with an upper bound of its size."""
+    """A table written to the scratch folder, with an upper bound of its size,
+    and for a table of counts their sum."""
 
     df: DataFrame
     path: str
     rows: int
     bytes: int
+    total: int | None = None
 
 
 def store(df: DataFrame, label: str) -> Stored:

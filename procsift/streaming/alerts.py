@@ -40,7 +40,7 @@ def save_tables(graph: Stored, pairs: Stored, path: str) -> None:
     tables = {"graph": graph, "pairs": pairs}
     for name, table in tables.items():
         table.df.write.mode("overwrite").parquet(f"{path}/{name}")
-    sizes = [(name, t.rows, t.bytes) for name, t in tables.items()]
+    sizes = [(name, t.rows, t.bytes, t.total) for name, t in tables.items()]
     graph.df.sparkSession.createDataFrame(sizes, _SIZES).coalesce(1).write.mode("overwrite").parquet(
         f"{path}/sizes"
     )
@@ -68,7 +68,7 @@ def load_snapshot(spark: SparkSession, path: str, forest_path: str | None = None
     """A snapshot that an earlier session saved; without a forest if there is none."""
     sizes = {r["name"]: r for r in spark.read.parquet(f"{path}/sizes").collect()}  # two rows
     tables = {
-        name: Stored(spark.read.parquet(f"{path}/{name}"), f"{path}/{name}", r["rows"], r["bytes"])
+        name: Stored(spark.read.parquet(f"{path}/{name}"), f"{path}/{name}", r["rows"], r["bytes"], r["total"])
         for name, r in sizes.items()
     }
     limits = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/limits").collect()}  # a row for each band
@@ -77,7 +77,7 @@ def load_snapshot(spark: SparkSession, path: str, forest_path: str | None = None
     return Snapshot(tables["graph"], tables["pairs"], limits, threshold, forest)
 
 
-_SIZES = "name string, rows bigint, bytes bigint"
+_SIZES = "name string, rows bigint, bytes bigint, total bigint"
 _THRESHOLD = "gate threshold"
 
 
