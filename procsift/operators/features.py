@@ -128,7 +128,7 @@ def pair_counts(events: DataFrame) -> DataFrame:
 
 def pair_table(events: DataFrame) -> Stored:
     pairs = store(pair_counts(events), "pairs")
-    return replace(pairs, total=pairs.df.agg(F.sum("n")).scalar() or 0)
+    return replace(pairs, total=pairs.df.agg(F.sum("n")).first()[0] or 0)
 
 
 def add_rare_parent_child(
