@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procsift.llm.common import crc_remainder, fresh, text_of
+from procsift.llm.common import crc_remainder, fresh, hash_sample, text_of
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -170,13 +170,12 @@ def learn(
     id, so that the sample is bounded and the same on any layout. Labels other
     than 0 and 1 are ignored; of several labels of one id the largest counts.
     """
-    sample = (
+    known = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("quality").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
     )
+    sample = hash_sample(known, max_labelled, "doc_id")
     base = docs.select("doc_id", text_of(docs).cast("binary").alias("text"))
     found = (
         base.join(F.broadcast(sample), "doc_id")  # at most max_labelled rows

@@ -440,7 +440,7 @@ def _shape_column(word):
         .when(code.between(48, 57), 4)
         .otherwise(5)
     )
-    return kind + F.when(F.hex(word).rlike("^([0-7].)*$"), 0).otherwise(6)
+    return kind + F.when(F.hex(word).rlike("^(?:[0-7].)*+$"), 0).otherwise(6)
 
 
 def build_lexicon(counts: DataFrame, frequent: int = FREQUENT_WORDS) -> tuple[Lexicon, int]:
