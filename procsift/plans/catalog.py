@@ -41,7 +41,7 @@ from procsift.schema import CORE_COLUMNS, FEATURES, RAW_FILES, TARGET_COLUMNS, T
 from procsift.session import scratch_path, store
 from procsift.sources import artifacts, intake, rawlogs
 from procsift.sources.artifacts import model_matrix, threshold_config
-from procsift.sources.bridge import RAW_TEXT, process_events, process_view
+from procsift.sources.bridge import RAW_TEXT, ndjson_text, process_events, process_view, sysmon_text
 from procsift.sources.unified import combined_events, to_unified
 from procsift.streaming.alerts import Snapshot, load_snapshot, save_snapshot, start_alerts
 from procsift.streaming.ingest import start_ingest
@@ -109,6 +109,22 @@ def ingest_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir, "falcon").select(*CORE_COLUMNS)
 
 
+@query
+def ingest_ndjson_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without the seconds column: the milliseconds are the time."""
+    lines = ndjson_text(process_events(spark, sf_dir), second_time=True)
+    rows = rawlogs.good_rows(rawlogs.ndjson_lines(lines))
+    return to_unified(rows, "falcon").select(*CORE_COLUMNS)
+
+
+@query
+def ingest_sysmon_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without a time of their own: the record's creation time."""
+    lines = sysmon_text(process_events(spark, sf_dir), second_time=True)
+    rows = rawlogs.good_rows(rawlogs.sysmon_lines(lines))
+    return to_unified(rows, "sysmon").select(*CORE_COLUMNS, *TARGET_COLUMNS)
+
+
 @query
 def ingest_xml_4688(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir, "security_4688").select(*CORE_COLUMNS)

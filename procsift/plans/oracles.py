@@ -226,6 +226,16 @@ _add(
     "ingest_xml_sysmon",
     _sql("ev", f"SELECT {_XML}, target_image, target_pid FROM ev WHERE source = 'sysmon'"),
 )
+_add(
+    "ingest_ndjson_millis",
+    _sql(
+        "ev",
+        "SELECT "
+        + _PLAIN.replace('"timestamp"', """date_trunc('millisecond', "timestamp") AS "timestamp\"""")
+        + " FROM ev WHERE source = 'falcon'",
+    ),
+)
+_add("ingest_sysmon_created", ORACLES["ingest_xml_sysmon"])
 _add(
     "malformed_counts",
     _sql(

@@ -138,14 +138,16 @@ def _utc_text(ts: Column) -> Column:
     return F.concat(F.replace(ts.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
-def ndjson_text(view: DataFrame) -> DataFrame:
-    """JSON lines of the first source; every 97th event id adds a bad line."""
+def ndjson_text(view: DataFrame, *, second_time: bool = False) -> DataFrame:
+    """JSON lines of the first source; every 97th event id adds a bad line.
+    With ``second_time`` they have the milliseconds in place of the seconds."""
     rows = view.where(F.col("source") == "falcon")
+    millis = (_micros(F.col("timestamp")) / 1000).cast("bigint").cast("string")
     seconds = (_micros(F.col("timestamp")).cast("decimal(24,6)") / 1_000_000).cast("decimal(20,6)")
     record = F.to_json(
         F.struct(
             F.col("event_type").alias("event_simpleName"),
-            seconds.cast("string").alias("ProcessStartTime"),
+            millis.alias("timestamp") if second_time else seconds.cast("string").alias("ProcessStartTime"),
             F.col("process_image").alias("ImageFileName"),
             F.col("parent_image").alias("ParentBaseFileName"),
             F.col("command_line").alias("CommandLine"),
@@ -172,7 +174,9 @@ def security_text(view: DataFrame) -> DataFrame:
     return _with_bad_lines(rows, line, ["", "<bad", "<Event></Evt>", "   "])
 
 
-def sysmon_text(view: DataFrame) -> DataFrame:
+def sysmon_text(view: DataFrame, *, second_time: bool = False) -> DataFrame:
+    """Event lines of the third source; with ``second_time`` without the item
+    that has the time, so that only the record's creation time is left."""
     rows = view.where(F.col("source") == "sysmon")
     create = F.col("event_type") == "1"
 
@@ -183,7 +187,7 @@ def sysmon_text(view: DataFrame) -> DataFrame:
         F.col("event_type"),
         _utc_text(F.col("timestamp")),
         [
-            _data("UtcTime", F.col("timestamp").cast("string")),
+            F.lit("") if second_time else _data("UtcTime", F.col("timestamp").cast("string")),
             _data("ParentImage", F.lit("overridden by the later item")),
             _data("ParentImage", F.coalesce(F.col("parent_image"), F.lit(""))),
             when_create("Image", "SourceImage", F.col("process_image")),
