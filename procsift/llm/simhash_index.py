@@ -20,48 +20,43 @@ BUCKET_LIMIT = 64
 _BLOCK = 1 << 16
 
 
-def wide_fingerprint(text: bytes, words: int = SHINGLE_WORDS, lanes: int = 1, seed: int = 42) -> list[int]:
-    """The SimHash of one UTF-8 text in ``lanes`` signed 64-bit numbers, each
-    from shingle hashes of its own seed.
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = 42) -> int:
+    """The 64-bit SimHash of one UTF-8 text, as a signed number.
 
     ASCII lower case, words between ASCII white space, ``words``-word shingles
     with repeats. A bit is set if over half of the shingle hashes have it. No
-    word: zeros. Memory is one number per shingle of a block.
+    word: zero. Memory is one number per shingle of a block.
     """
     parts = text.lower().split()  # of bytes: ASCII case and white space only
     if not parts:
-        return [0] * lanes
+        return 0
     last = max(1, len(parts) - words + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    ones = np.zeros((lanes, 64), dtype=np.int64)
+    ones = np.zeros(64, dtype=np.int64)
     for start in range(0, last, _BLOCK):
-        shingles = [join(parts[i : i + words]) for i in range(start, min(last, start + _BLOCK))]
-        for lane in range(lanes):
-            hashes = np.array([digest(s, seed + lane) for s in shingles], dtype=">u8")
-            bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
-            ones[lane] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > last, axis=1).view(">i8")[:, 0].tolist()
-
-
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = 42) -> int:
-    """The 64-bit SimHash of one UTF-8 text, as a signed number."""
-    return wide_fingerprint(text, words, 1, seed)[0]
+        hashes = np.array(
+            [digest(join(parts[i : i + words]), seed) for i in range(start, min(last, start + _BLOCK))],
+            dtype=">u8",
+        )
+        bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > last).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp) of every row; with several lanes fp, fp1, fp2, ..."""
-    names = ["fp", *[f"fp{i}" for i in range(1, lanes)]]
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            found = [wide_fingerprint(texts[i].as_py(), words, lanes) for i in range(len(texts))]
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+            found = [fingerprint(texts[i].as_py(), words) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"]
+            )
 
     return docs.select(
         F.col("doc_id").cast("bigint"), text_of(docs).cast("binary").alias("text")
-    ).mapInArrow(run, ", ".join(f"{n} bigint" for n in ["doc_id", *names]))
+    ).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -181,98 +176,11 @@ def near_duplicates(
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: three 64-bit lanes in segments of 21 or 22 bits, each probed
-#: with its ball of one bit, and at most this many of 192 bits different.
-LANES, LANE_SEGMENTS, WIDE_RADIUS = 3, 3, 26
-
-
-def _wide_pairs(nodes: DataFrame, lanes: list[str], bucket_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of ``nodes``, and the crowded buckets' (node, leader)."""
-    entries, probes = [], []
-    for lane, name in enumerate(lanes):
-        for i, (shift, width, _) in enumerate(_segments(LANE_SEGMENTS, LANE_SEGMENTS - 1)):
-            value = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1))
-            key = value + ((lane * LANE_SEGMENTS + i) << 32)
-            entries.append(key)
-            masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(width, 1)])
-            probes.append(F.transform(masks, _flipped(key)))
-    entry = nodes.select("node", F.explode(F.array(*entries)).alias("key"))
-    probe = nodes.select(F.col("node").alias("a"), F.explode(F.flatten(F.array(*probes))).alias("key"))
-    sizes = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
-    crowded = stored(sizes.where(F.col("n") > bucket_limit).select("key", "leader"), "crowded")
-    cold = entry.join(crowded, "key", "left_anti").select("key", F.col("node").alias("b"))
-    led = crowded.select("key", F.col("leader").alias("b"))
-    pairs = probe.join(cold.unionAll(led), "key").where("a <> b")
-    members = entry.join(crowded, "key").select("node", "leader").distinct()
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members
-
-
-def _flipped(key: Column) -> Callable[[Column], Column]:
-    return lambda mask: key.bitwiseXOR(mask)
-
-
-def near_copies(
-    docs: DataFrame,
-    words: int = SHINGLE_WORDS,
-    radius: int = WIDE_RADIUS,
-    bucket_limit: int = BUCKET_LIMIT,
-) -> DataFrame:
-    """(doc_id, component_id) of every row: classes of near copies.
-
-    Two texts are linked if their 192-bit fingerprints differ by at most
-    ``radius`` bits. 26 of them on three-word shingles answer to about 0.75 of
-    the five-word shingles of both texts in common, within the spread of a
-    fingerprint: at 0.8 about four in five pairs are linked, at 0.85 nearly all, at
-    0.6 one in thirty. Multi-index hashing meets a pair if one of its nine
-    segments differs by at most one bit: 95 % of pairs at 0.8.
-
-    Fingerprints of a bucket over ``bucket_limit`` are compared with its
-    leader, the smallest id. Those it takes leave; the leader, compared with
-    all, leaves too; and the rest is entered anew, until no bucket is crowded.
-    So no group is ever paired up, and a class of many near copies collapses
-    in a few rounds.
-
-    Null and empty texts are copies of each other. A null doc_id links no texts.
-    """
-    lanes = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
-    prints = stored(fingerprints(docs, words, LANES), "fingerprints")
-    nodes = stored(
-        prints.where("doc_id is not null").groupBy(*lanes).agg(F.min("doc_id").alias("node")), "nodes"
-    )
-    distance = sum((F.bit_count(F.col(f"l.{n}").bitwiseXOR(F.col(f"r.{n}"))) for n in lanes), F.lit(0))
-    waiting, found = nodes, None
-    while True:
-        pairs, members = _wide_pairs(waiting, lanes, bucket_limit)
-        left, right = waiting.alias("l"), waiting.alias("r")
-        linked = stored(
-            pairs.join(left, F.col("a") == F.col("l.node"))
-            .join(right, F.col("b") == F.col("r.node"))
-            .where(distance <= radius)
-            .select("a", "b"),
-            "near-links",
-        )
-        found = linked if found is None else found.unionAll(linked)
-        members = stored(members, "crowded-members")
-        if members.isEmpty():
-            break
-        gone = members.select(F.col("leader").alias("node"))
-        taken = linked.join(members.select(F.col("leader").alias("b")).distinct(), "b", "left_semi")
-        gone = gone.unionAll(taken.select(F.col("a").alias("node"))).distinct()
-        still = members.select("node").distinct().join(gone, "node", "left_anti")
-        waiting = stored(waiting.join(still, "node", "left_semi").select(*waiting.columns), "waiting")
-    roots = components(found, "near-copies")
-    named = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = stored(named.select(*lanes, F.coalesce("root", "node").alias("component_id")), "near-classes")
-    same = [prints[n].eqNullSafe(named[n]) for n in lanes]
-    joined = prints.join(named, same[0] & same[1] & same[2], "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their class of near
-    copies, with all their columns. Of rows that repeat a doc_id the least one stays; rows
+    """The rows of ``docs`` that are the smallest doc_id of their class, with all
+    their columns. Of rows that repeat a doc_id the least one stays; rows
     without a doc_id all stay."""
-    found = stored(near_copies(docs, **options), "near-copy-classes")
+    found = stored(near_duplicates(docs, **options), "near-copy-classes")
     away = fresh(docs, "_away")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     repeated = stored(
