@@ -180,7 +180,12 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their class, with all
     their columns. Of rows that repeat a doc_id the least one stays; rows
     without a doc_id all stay."""
-    found = stored(near_duplicates(docs, **options), "near-copy-classes")
+    return smallest_of_each(docs, near_duplicates(docs, **options))
+
+
+def smallest_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """What one_of_each gives, by the ``classes`` (doc_id, component_id) of the rows."""
+    found = stored(classes, "near-copy-classes")
     away = fresh(docs, "_away")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     repeated = stored(
