@@ -26,9 +26,9 @@ EMBEDDING, HIDDEN = 12, 16
 #: Lanes that run side by side, and tokens of a window.
 SCORE_LANES, SCORE_WINDOW = 512, 24
 TRAIN_LANES, TRAIN_WINDOW = 192, 16
-#: One training document in GRADIENT_SHARE takes part in the gradient passes;
-#: these are dealt out over ROUNDS, with the mean of all tasks' weights between.
-GRADIENT_SHARE, ROUNDS = 5, 3
+#: Every training document takes part in one gradient pass; they are dealt out
+#: over ROUNDS, with the mean of all tasks' weights between.
+ROUNDS = 3
 LEARNING_RATE = 0.01
 COUNTER_WORDS = 200_000
 
@@ -493,23 +493,24 @@ def build_lexicon(counts: DataFrame, frequent: int = FREQUENT_WORDS) -> tuple[Le
     return lexicon, (least if least is not None else 1 << 30)
 
 
+def rounds_of(docs: DataFrame) -> DataFrame:
+    """(round, text) of every row, the round being below ROUNDS."""
+    number = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)).cast("int")
+    return docs.select(number.alias("round"), "text")
+
+
 def train(docs: DataFrame, lexicon: Lexicon) -> Weights:
     """The network's weights, learnt by all tasks together.
 
-    ``docs`` (doc_id, text) are the training documents. Those of one hash class
-    in GRADIENT_SHARE take part, in ROUNDS parts by hash: the work grows with
-    the corpus. In each round every task starts from the common weights and
+    ``docs`` (doc_id, text) are the training documents. All take part, each
+    once, in ROUNDS parts by hash. In each round every task starts from the common weights and
     makes one pass over its documents; Spark then averages the weights, by
     tokens. Only one set of weights at a time reaches the driver.
     """
     spark = docs.sparkSession
     weights = first_weights(lexicon)
     known = spark.sparkContext.broadcast(lexicon)
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(GRADIENT_SHARE * ROUNDS))
-    sample = stored(
-        docs.withColumn("round", chosen.cast("int")).where(F.col("round") < ROUNDS).select("round", "text"),
-        "lm-sample",
-    )
+    dealt = rounds_of(docs)
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast(flat(weights))
 
@@ -526,7 +527,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Weights:
                 )
 
         parts = (
-            sample.where(F.col("round") == number)
+            dealt.where(F.col("round") == number)
             .select("text")
             .mapInArrow(run, "tokens bigint, moved array<double>")
         )
