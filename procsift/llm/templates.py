@@ -12,8 +12,10 @@ from procsift.llm.common import fresh, stored, text_of
 WINDOW = 8
 #: Shorter items have too few words to tell a leak from chance.
 MIN_WORDS = 5
-#: Of a window's words, at least so many are no placeholders.
-MIN_LITERALS = 5
+#: A window with so many words that are no placeholders is evidence by itself.
+#: Others count along with one of these, in an item that is met whole and has
+#: WHOLE_LITERALS such words, or with the item's own numbers, names and units.
+MIN_LITERALS, WHOLE_LITERALS = 5, 3
 COVERAGE = 0.5
 #: Part of an item is a leak too if so many words of it stand in line.
 RUN_WORDS = 13
@@ -83,6 +85,10 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
+def _literal(word: Column) -> Column:
+    return ~word.isin(NUMBER, NAME, UNIT)
+
+
 def _values(slots: Column, pos: Column, length: Column) -> Column:
     """The values of the slots inside a window, by place."""
     inside = F.filter(slots, lambda s: (s["pos"] >= pos) & (s["pos"] < pos + length))
@@ -94,17 +100,17 @@ def _hash(words: Column, start: Column, length: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item_windows, length, item_pos, hash, item_values, anchor, at)
-    of all windows of all items that have enough literal words.
+    """(item_id, text_id, item_windows, item_literals, strong, length, item_pos,
+    hash, item_values, anchor, at) of all windows of all items.
 
-    An item of fewer words than a window is one window of its own length. The
-    anchor is the hash of a window's longest literal word, ``at`` its place.
+    ``text_id`` tells the texts of an item_id apart. An item of fewer words than a window is one
+    window of its own length. The anchor is the hash of a window's longest
+    literal word, ``at`` its place; a window without any has a placeholder as
+    its anchor. ``strong`` windows have MIN_LITERALS literal words.
     """
+    texts = items.where(F.col("item_id").isNotNull()).select("item_id", text_of(items).alias("text"))
     rows = with_slots(
-        with_template(
-            items.where(F.col("item_id").isNotNull()).select("item_id", text_of(items).alias("text")), "item_id"
-        ),
-        "item_id",
+        with_template(texts.withColumn("text_id", F.xxhash64("text")), "item_id", "text_id"), "item_id", "text_id"
     )
     length = F.least(F.lit(window), F.size("words"))
     rows = rows.where(F.size("words") >= MIN_WORDS).select(
@@ -113,19 +119,22 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("item_pos"),
     )
     words = F.slice(F.col("words"), F.col("item_pos") + 1, F.col("length"))
-    literals = F.filter(
-        F.transform(
-            words, lambda w, i: F.struct(F.char_length(w).alias("chars"), w.alias("word"), (-i).alias("at"))
+    marked = F.transform(
+        words,
+        lambda w, i: F.struct(
+            _literal(w).alias("literal"), F.char_length(w).alias("chars"), w.alias("word"), (-i).alias("at")
         ),
-        lambda x: ~x["word"].isin(NUMBER, NAME, UNIT),
     )
+    literals = F.size(F.filter("marked", lambda x: x["literal"]))
     return (
-        rows.withColumn("literals", literals)
-        .where(F.size("literals") >= F.least(F.lit(MIN_LITERALS), F.col("length")))
-        .withColumn("longest", F.array_max("literals"))
+        rows.withColumn("marked", marked)
+        .withColumn("longest", F.array_max("marked"))
         .select(
             "item_id",
-            F.count(F.lit(1)).over(Window.partitionBy("item_id")).alias("item_windows"),
+            "text_id",
+            F.count(F.lit(1)).over(Window.partitionBy("item_id")).cast("int").alias("item_windows"),
+            F.size(F.filter("words", _literal)).alias("item_literals"),
+            (literals >= F.least(F.lit(MIN_LITERALS), F.col("length"))).alias("strong"),
             "length",
             "item_pos",
             _hash(F.col("words"), F.col("item_pos"), F.col("length")).alias("hash"),
@@ -179,14 +188,17 @@ def contamination(
     Template windows of ``window`` words are joined by hash. Matches of one
     document and item at one distance of their places belong to one occurrence;
     it counts if its slots are consistent, that is, if equal values of the item
-    have equal values in the document throughout. ``coverage`` is the share of
+    have equal values in the document throughout, and if it has a window of
+    MIN_LITERALS literal words, or is the whole of an item with WHOLE_LITERALS
+    of them, or has the item's own values. ``coverage`` is the share of
     the item's windows that consistent occurrences match, ``aligned`` the most
     windows that one of them does. A document holds an item from a share of
     ``coverage`` on, or from as many aligned windows as ``run_words`` words have.
 
     Null and empty texts have no window. Items under five words are never
-    reported. Rows that repeat a doc_id or an item_id count once, texts of one
-    id together. Null ids are left out.
+    reported. Rows that repeat a doc_id count once, its texts together. Rows that
+    repeat an item_id and its text count once; of an item_id's different texts
+    the one with the most coverage counts. Null ids are left out.
     """
     items = stored(benchmark_windows(benchmark, window), "template-windows")
     items_only = items.drop("anchor", "at")
@@ -196,7 +208,10 @@ def contamination(
         .select(
             "doc_id",
             "item_id",
+            "text_id",
             "item_windows",
+            "item_literals",
+            "strong",
             "item_pos",
             "item_values",
             "pos",
@@ -212,13 +227,14 @@ def contamination(
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     doc_values = _values(F.col("slots"), F.col("pos"), F.col("length"))
     pairs = F.zip_with(F.col("item_values"), doc_values, lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    key = ["doc_id", "item_id", "item_windows"]
+    key = ["doc_id", "item_id", "text_id", "item_windows", "item_literals"]
     found = (
         filled.join(slots, F.col("doc_id") == F.col("owner"))
-        .select(*key, "item_pos", shift, pairs.alias("pairs"))
+        .select(*key, "strong", "item_pos", shift, pairs.alias("pairs"))
         .unionAll(
             met.where(F.size("item_values") == 0).select(
                 *key,
+                "strong",
                 "item_pos",
                 shift,
                 F.array().cast("array<struct<item:string,doc:string>>").alias("pairs"),
@@ -227,16 +243,19 @@ def contamination(
     )
     occurrences = found.groupBy(*key, "shift").agg(
         F.collect_set("item_pos").alias("at"),
+        F.max("strong").alias("strong"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
+    whole = (F.size("at") == F.col("item_windows")) & (F.col("item_literals") >= WHOLE_LITERALS)
+    equal = F.forall("pairs", lambda p: p["item"].eqNullSafe(p["doc"]))
     consistent = occurrences.where(
         F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    )
-    return (
+    ).where(F.col("strong") | whole | equal)
+    found = (
         consistent.select(*key, F.size("at").cast("bigint").alias("aligned"), F.explode("at").alias("at"))
         .groupBy(*key, "at")
         .agg(F.max("aligned").alias("aligned"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", "text_id")
         .agg(
             F.count(F.lit(1)).alias("n_windows"),
             F.max("item_windows").cast("bigint").alias("item_windows"),
@@ -245,6 +264,12 @@ def contamination(
         .withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
         .where((F.col("coverage") >= coverage) | (F.col("aligned") > run_words - window))
     )
+    best = F.max(F.struct("coverage", "aligned", "n_windows", "item_windows")).alias("best")
+    return (
+        found.groupBy("doc_id", "item_id")
+        .agg(best)
+        .select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.aligned")
+    )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
