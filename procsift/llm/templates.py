@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procsift.llm.common import fresh, stored, text_of
@@ -103,12 +103,13 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, text_id, item_windows, item_literals, strong, length, item_pos,
     hash, item_values, anchor, at) of all windows of all items.
 
-    ``text_id`` tells the texts of an item_id apart. An item of fewer words than a window is one
+    Rows that repeat an item_id and its text are one item; ``text_id`` tells
+    the texts of an item_id apart. An item of fewer words than a window is one
     window of its own length. The anchor is the hash of a window's longest
     literal word, ``at`` its place; a window without any has a placeholder as
     its anchor. ``strong`` windows have MIN_LITERALS literal words.
     """
-    texts = items.where(F.col("item_id").isNotNull()).select("item_id", text_of(items).alias("text"))
+    texts = items.where(F.col("item_id").isNotNull()).select("item_id", text_of(items).alias("text")).distinct()
     rows = with_slots(
         with_template(texts.withColumn("text_id", F.xxhash64("text")), "item_id", "text_id"), "item_id", "text_id"
     )
@@ -132,7 +133,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         .select(
             "item_id",
             "text_id",
-            F.count(F.lit(1)).over(Window.partitionBy("item_id")).cast("int").alias("item_windows"),
+            (F.size("words") - F.col("length") + 1).alias("item_windows"),
             F.size(F.filter("words", _literal)).alias("item_literals"),
             (literals >= F.least(F.lit(MIN_LITERALS), F.col("length"))).alias("strong"),
             "length",

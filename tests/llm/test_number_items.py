@@ -35,3 +35,11 @@ def test_items_of_numbers(spark, copies):
 def test_rows_of_numbers_alone_need_the_same_numbers(spark):
     texts = ["table: 1 2 3 4 5 6 7 8 9 10", "table: 21 22 23 24 25 26 27 28 29 30"]
     assert found(spark, texts, [(0, "1 2 3 4 5 6 7 8 9 10")]) == {(0, 0)}
+
+
+def test_repeated_rows_of_an_item_count_once(spark):
+    item = "the quick brown fox jumps over a lazy dog"
+    texts = [f"so: {item}, yes", "nothing of the kind is here at all today"]
+    assert found(spark, texts, [(7, item)] * 3) == {(0, 7)}
+    other = "every good text of this item id says something else entirely today"
+    assert found(spark, [*texts, other], [(7, item), (7, item), (7, other)]) == {(0, 7), (2, 7)}
