@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the ten queries that SQL can express."""
+"""DuckDB SQL for those of the numbered queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -47,4 +47,38 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op12_prefix_trie": """
+        WITH own AS (
+          SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')}
+                               ORDER BY turn NULLS FIRST, role, text) AS l
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), taken AS (
+          SELECT *, xor(list_reduce(
+              list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+              lambda crc, byte: list_reduce(list_transform(range(8), lambda i: CAST(i AS BIGINT)),
+                lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)),
+              CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS h FROM own
+        ), rebuilt AS (
+          SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS s
+          FROM taken a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+        ), prefixes AS (
+          SELECT conv_id, s[1:d] AS node, d, len(s) = d AS ends
+          FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+          SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), ''))
+                   AS ends_sha256,
+                 CASE WHEN d > 0 THEN length(node[d].x) ELSE 0 END * (count(*) - 1) AS saved
+          FROM prefixes GROUP BY node, d
+        ), children AS (
+          SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+        ), counted AS (
+          SELECT nodes.*, coalesce(c.n, 0) AS n_children FROM nodes LEFT JOIN children c USING (node)
+        ), totals AS (
+          SELECT node[1:i] AS node, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM counted) GROUP BY 1
+        )
+        SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+               CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+        FROM counted c JOIN totals t USING (node) LEFT JOIN nodes p ON c.d > 0 AND p.node = c.node[1:c.d - 1]""",
 }

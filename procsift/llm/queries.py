@@ -1,4 +1,4 @@
-"""The ten queries with their production parameters."""
+"""The numbered queries with their production parameters."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from procsift.llm import (
     binary_packing,
     line_dedup,
+    multi_index,
     pii_boosting,
     poly_exact,
+    prefix_trie,
     qda_quality,
     recurrent_lm,
     reply_trees,
     simhash_index,
     templates,
+    token_alignment,
     token_secrets,
 )
 from procsift.llm.common import table
@@ -120,6 +123,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -131,4 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_multi_index": op11_multi_index,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
