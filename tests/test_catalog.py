@@ -5,10 +5,9 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from conftest import SF_DIR
 from procsift.plans.catalog import QUERIES
 from procsift.plans.oracles import ORACLES
-from verify import canonical, connect, oracle_rows
+from verify import SF_DIR, canonical, connect, oracle_rows
 
 ONLY_ROWS = {"rf_importance", "forest_scores", "forest_alerts", "attribution"}
 

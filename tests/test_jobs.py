@@ -18,7 +18,7 @@ from procsift.sources.bridge import RAW_TEXT, process_events
 from procsift.sources.unified import combined_events
 from procsift.streaming.alerts import Snapshot, gate_events, start_alerts
 from procsift.streaming.ingest import start_ingest
-from conftest import SF_DIR
+from verify import SF_DIR
 
 
 @pytest.fixture(scope="module")
