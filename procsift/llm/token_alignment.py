@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.binary_packing import default_pattern, default_vocabulary, encoder
+from procsift.llm.binary_packing import _ODD_SPACE, WORD_CHARS, default_pattern, default_vocabulary, encoder
 from procsift.llm.common import stored, text_of
 
-#: A window of more tokens isn't remembered, and at most so many windows are.
-WINDOW_TOKENS, WINDOWS = 64, 200_000
+#: A window of more tokens isn't remembered, and at most so many windows, and words, are.
+WINDOW_TOKENS, WINDOWS = 64, 250_000
 #: Texts are aligned in blocks of about so many characters.
 BLOCK_CHARS = 400_000
 #: Pairs whose counts go to every task, at most; the rest are joined.
@@ -43,7 +43,7 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
 
 
 class Tokens:
-    """Both tokenizers, with the bytes of their tokens."""
+    """Both tokenizers, with the bytes of their tokens, and what a worker remembers."""
 
     def __init__(self, vocabulary: str, pattern: str, pieces: str) -> None:
         self.encode_a = encoder(vocabulary, pattern)
@@ -54,23 +54,58 @@ class Tokens:
         self.b_bytes = piece_bytes(self.model)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = (np.array([x[:1] == b" " for x in t]) for t in (a_bytes, self.b_bytes))
-        self.a_bytes = a_bytes
+        # A piece has its mark in front only, but for runs of spaces.
+        names = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.by_word = not any(_MARK in name.lstrip(_MARK) for name in names)
+        self._words: dict[str, bytes | None] = {}
+        self.memory = Memory(self)
+
+    def _given_back(self, texts: list[str]) -> list[bytes | None]:
+        """B's ids of each text as little-endian unsigned 32-bit numbers, none
+        where the pieces' bytes aren't a space and the text."""
+        piece, out = self.b_bytes.__getitem__, []
+        for text, ids in zip(texts, self.model.encode(texts, num_threads=1) if texts else [], strict=True):
+            same = b"".join(map(piece, ids)) == f" {text}".encode()
+            out.append(array("I", ids).tobytes() if same else None)
+        return out
+
+    def encode_b(self, texts: list[str]) -> list[bytes | None]:
+        """No piece goes on beyond a space before a word, so a text's ids are
+        those of its words; words come back often and are remembered."""
+        known, out = self._words, [None] * len(texts)
+        if len(known) > WINDOWS:
+            known.clear()
+        split: list[tuple[int, list[str]]] = []
+        whole, missing = [], {}
+        for i, text in enumerate(texts):
+            if not self.by_word or text[:1] == " " or _MARK in text or _ODD_SPACE.search(text):
+                whole.append(i)
+                continue
+            words = text.split(" ")
+            split.append((i, words))
+            missing.update((w, None) for w in words if w not in known)
+        new = list(missing)
+        fresh = dict(zip(new, self._given_back(new), strict=True))
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_CHARS)
+        for i, words in split:
+            found = [known[w] if w in known else fresh[w] for w in words]
+            out[i] = None if None in found else b"".join(found)
+        for i, ids in zip(whole, self._given_back([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both, or two empty lists where the tokens' bytes aren't the text's."""
+        """Ids of both, or two empty lists where the tokens' bytes aren't the
+        text's. A's vocabulary has every byte, so A's always are."""
         none = np.zeros(0, dtype=np.uint32)
-        out, piece = [], self.b_bytes.__getitem__
-        for text, b in zip(texts, self.model.encode(texts, num_threads=1) if texts else [], strict=True):
-            spaced = f" {text}"
-            data = spaced.encode()
-            if not text or b"".join(map(piece, b)) != data:
-                out.append((none, none))
-                continue
-            a = np.frombuffer(self.encode_a(spaced), dtype="<u4").astype(np.uint32)
-            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data:
+        out = []
+        for text, b in zip(texts, self.encode_b(texts), strict=True):
+            if not text or b is None:
                 out.append((none, none))
             else:
-                out.append((a, np.array(b, dtype=np.uint32)))
+                out.append(
+                    (np.frombuffer(self.encode_a(f" {text}"), dtype="<u4"), np.frombuffer(b, dtype="<u4"))
+                )
         return out
 
 
@@ -85,13 +120,9 @@ def tokens(vocabulary: str, pattern: str, pieces: str) -> Tokens:
     return _tokens[key]
 
 
-@dataclass(frozen=True)
-class Window:
-    """The alignment of a run of tokens whose ends both tokenizers share."""
-
-    groups: str
-    n_groups: int
-    links: np.ndarray  # a * 2**32 + b of every link
+#: The alignment of a run of tokens whose ends both tokenizers share: its groups
+#: as text, their number, and a * 2**32 + b of every link as 64-bit numbers.
+Window = tuple[str, int, bytes]
 
 
 def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Window:
@@ -111,7 +142,33 @@ def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
     for k, m in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
         groups.append(f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}")
         i, j = k, m
-    return Window(";".join(groups), len(groups), links)
+    return ";".join(groups), len(groups), links.astype("<i8").tobytes()
+
+
+def align_few(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> Window:
+    """The same for a few tokens, by a walk along both."""
+    links, groups, i, j = [], 1, 0, 0
+    text_a, text_b, text = str(a[0]), str(b[0]), ""
+    end_a, end_b, last = a_sizes[a[0]], b_sizes[b[0]], len(a) - 1
+    while True:
+        links.append((a[i] << _B_BITS) + b[j])
+        if end_a < end_b:
+            i += 1
+            end_a += a_sizes[a[i]]
+            text_a += f",{a[i]}"
+        elif end_b < end_a:
+            j += 1
+            end_b += b_sizes[b[j]]
+            text_b += f",{b[j]}"
+        elif i == last:
+            return f"{text}{text_a}|{text_b}", groups, array("q", links).tobytes()
+        else:
+            text += f"{text_a}|{text_b};"
+            groups += 1
+            i, j = i + 1, j + 1
+            end_a += a_sizes[a[i]]
+            end_b += b_sizes[b[j]]
+            text_a, text_b = str(a[i]), str(b[j])
 
 
 @dataclass
@@ -121,6 +178,9 @@ class Memory:
     tokens: Tokens
     known: dict[tuple[bytes, bytes], Window] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.a_sizes, self.b_sizes = self.tokens.a_sizes.tolist(), self.tokens.b_sizes.tolist()
+
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[Window]:
         """The windows of a text, in order.
 
@@ -139,16 +199,22 @@ class Memory:
             cut_a, cut_b = np.append(0, cut_a), np.append(0, cut_b)
         raw_a, raw_b, width = a.tobytes(), b.tobytes(), a.itemsize
         edges_a, edges_b = [*(cut_a * width).tolist(), len(raw_a)], [*(cut_b * width).tolist(), len(raw_b)]
-        out, known = [], self.known
-        for (i, j), (k, m) in zip(pairwise(edges_a), pairwise(edges_b), strict=True):
+        list_a, list_b = a.tolist(), b.tolist()
+        out, known, few = [], self.known, WINDOW_TOKENS * width
+        for i, j, k, m in zip(edges_a, edges_a[1:], edges_b, edges_b[1:], strict=False):
             key = (raw_a[i:j], raw_b[k:m])
             found = known.get(key)
             if found is None:
-                found = align(a[i // width : j // width], b[k // width : m // width], t.a_sizes, t.b_sizes)
-                if j - i + m - k <= WINDOW_TOKENS * width:
+                if j - i + m - k <= few:
+                    found = align_few(
+                        list_a[i // width : j // width], list_b[k // width : m // width], self.a_sizes, self.b_sizes
+                    )
                     if len(known) >= WINDOWS:
                         known.clear()
                     known[key] = found
+                else:
+                    i, j, k, m = (x // width for x in (i, j, k, m))
+                    found = align(a[i:j], b[k:m], t.a_sizes, t.b_sizes)
             out.append(found)
         return out
 
@@ -176,10 +242,11 @@ _NOTHING = Aligned(0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtyp
 def put_together(a: np.ndarray, b: np.ndarray, windows: list[Window]) -> Aligned:
     if not len(a):
         return _NOTHING
-    digest = hashlib.sha256(";".join([w.groups for w in windows]).encode()).hexdigest()
-    links = np.concatenate([w.links for w in windows])
-    pairs, times = np.unique(links, return_counts=True)
-    return Aligned(len(a), len(b), sum([w.n_groups for w in windows]), len(links), digest, pairs, times)
+    groups, numbers, links = zip(*windows, strict=True)
+    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+    every = np.frombuffer(b"".join(links), dtype="<i8")
+    pairs, times = np.unique(every, return_counts=True)
+    return Aligned(len(a), len(b), sum(numbers), len(every), digest, pairs, times)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -218,7 +285,7 @@ def aligned(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokens(vocabulary, pattern, pieces)
-        memory = Memory(both)
+        memory = both.memory
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in _blocks(texts):
