@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -23,9 +23,14 @@ FREQUENT_WORDS = 100_000
 #: Words of the network's own vocabulary: CLASSES of WIDTH.
 CLASSES, WIDTH = 32, 32
 EMBEDDING, HIDDEN = 12, 16
-#: Lanes that run side by side, and tokens of a window.
-SCORE_LANES, SCORE_WINDOW = 512, 24
+#: Lanes that run side by side, and tokens of a window. Where few lanes are left
+#: to score, windows grow, up to LONGEST_WINDOW.
+SCORE_LANES, SCORE_WINDOW, LONGEST_WINDOW = 512, 24, 1024
 TRAIN_LANES, TRAIN_WINDOW = 192, 16
+#: A gradient step has so many tokens behind it.
+STEP_TOKENS = TRAIN_LANES * TRAIN_WINDOW
+#: Training takes longer documents in parts of so many tokens, side by side.
+TRAIN_PART = 1024
 #: Every training document takes part in one gradient pass; they are dealt out
 #: over ROUNDS, with the mean of all tasks' weights between.
 ROUNDS = 3
@@ -252,37 +257,41 @@ _KEEP_FIRST, _KEEP_SECOND, _FLOOR = np.float32(0.9), np.float32(0.99), np.float3
 
 
 class Trainer:
-    """Truncated backpropagation through time with Adam steps."""
+    """Truncated backpropagation through time with Adam steps.
+
+    Gradients add up over windows until STEP_TOKENS tokens are behind them, so
+    every step has the weight that the rate was chosen for, however few lanes a
+    window has. What is left at the end makes a step as much shorter.
+    """
 
     def __init__(self, weights: Weights, rate: float = LEARNING_RATE) -> None:
         self.w, self.rate = weights, rate
         self.first = {n: np.zeros_like(v) for n, v in weights.items()}
         self.second = {n: np.zeros_like(v) for n, v in weights.items()}
-        self.steps = 0
+        self.grads = {n: np.zeros_like(v) for n, v in weights.items()}
+        self.steps, self.tokens = 0, 0
 
     def window(self, ids: np.ndarray, targets: np.ndarray, valid: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """One step on a window (T, B); gradients end at its first token. Returns the last state."""
-        w, (steps, lanes) = self.w, ids.shape
+        """Add a window's gradients (T, B); they end at its first token. Returns the last state."""
+        w, grads, (steps, lanes) = self.w, self.grads, ids.shape
         states, memory = _run_window(w, ids, state, keep=True)
         at = np.flatnonzero(valid.ravel())
         if not len(at):
             return states[-1]
-        # By the size of a full window: the last, long documents take small steps.
-        hidden, scale = states.reshape(-1, HIDDEN)[at], np.float32(1.0 / (TRAIN_LANES * TRAIN_WINDOW))
+        hidden = states.reshape(-1, HIDDEN)[at]
         group, place = _groups(targets.ravel()[at])
-        grads = {n: np.zeros_like(v) for n, v in w.items()}
         error, total = _exponents(hidden @ w["wc"] + w["bc"])
         error /= total[:, None]
         error[np.arange(len(at)), group] -= 1
-        error *= scale
-        grads["wc"], grads["bc"] = hidden.T @ error, error.sum(axis=0)
+        grads["wc"] += hidden.T @ error
+        grads["bc"] += error.sum(axis=0)
         back = error @ w["wc"].T
         for c, rows in _by_class(group):
             error, total = _exponents(hidden[rows] @ w["wo"][c] + w["bo"][c])
             error /= total[:, None]
             error[np.arange(len(rows)), place[rows]] -= 1
-            error *= scale
-            grads["wo"][c], grads["bo"][c] = hidden[rows].T @ error, error.sum(axis=0)
+            grads["wo"][c] += hidden[rows].T @ error
+            grads["bo"][c] += error.sum(axis=0)
             back[rows] += error @ w["wo"][c].T
         outer = np.zeros((steps * lanes, HIDDEN), dtype=np.float32)
         outer[at] = back
@@ -303,27 +312,44 @@ class Trainer:
             d_state = d_state * update + recur @ w["wh"].T
         inputs = inputs.reshape(-1, 3 * HIDDEN)
         embedded = w["emb"][ids].reshape(-1, EMBEDDING)
-        grads["wx"], grads["bx"] = embedded.T @ inputs, inputs.sum(axis=0)
+        grads["wx"] += embedded.T @ inputs
+        grads["bx"] += inputs.sum(axis=0)
         np.add.at(grads["emb"], ids.ravel(), inputs @ w["wx"].T)
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        self.tokens += len(at)
+        if self.tokens >= STEP_TOKENS:
+            self.step()
+        return states[-1]
+
+    def step(self) -> None:
+        """One Adam step by the mean gradient since the last."""
+        if not self.tokens:
+            return
+        share = min(1.0, self.tokens / STEP_TOKENS)
+        for grad in self.grads.values():
+            grad /= np.float32(self.tokens)
+        size = np.sqrt(sum(float((g * g).sum()) for g in self.grads.values()))
         clip = np.float32(min(1.0, 1.0 / (size + 1e-12)))
         self.steps += 1
         low, high = 1 - _KEEP_FIRST**self.steps, 1 - _KEEP_SECOND**self.steps
-        for name, grad in grads.items():
+        for name, grad in self.grads.items():
             grad *= clip
             first, second = self.first[name], self.second[name]
             first += (1 - _KEEP_FIRST) * (grad - first)
             second += (1 - _KEEP_SECOND) * (grad * grad - second)
-            w[name] -= np.float32(self.rate / low) * first / (np.sqrt(second / np.float32(high)) + _FLOOR)
-        return states[-1]
+            self.w[name] -= np.float32(share * self.rate / low) * first / (np.sqrt(second / np.float32(high)) + _FLOOR)
+            grad[:] = 0
+        self.tokens = 0
 
 
 class Lanes:
     """Documents side by side: each lane takes the next one when its own ends,
     and carries its state from window to window."""
 
-    def __init__(self, lanes: int, window: int, documents: Iterator[tuple[object, Encoded]]) -> None:
+    def __init__(
+        self, lanes: int, window: int, documents: Iterator[tuple[object, Encoded]], longest: int | None = None
+    ) -> None:
         self.window, self.documents = window, documents
+        self.full, self.longest = lanes * window, longest or window
         self.held: list[list] = []  # [key, document, place, log probability]
         self.state = np.zeros((0, HIDDEN), dtype=np.float32)
         self.most = lanes
@@ -338,6 +364,8 @@ class Lanes:
             fresh += 1
         if fresh:
             self.state = np.concatenate([self.state, np.zeros((fresh, HIDDEN), dtype=np.float32)])
+        if len(self.held) < self.most:  # the last documents: as many tokens in fewer, longer windows
+            self.window = max(self.window, min(self.longest, self.full // max(1, len(self.held))))
         return bool(self.held)
 
     def slices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,7 +399,7 @@ class Lanes:
 
 def score_documents(w: Weights, documents: Iterator[tuple[object, Encoded]]) -> Iterator[tuple[object, Encoded, float]]:
     """(key, document, natural log probability by the network) of each whole document."""
-    lanes = Lanes(SCORE_LANES, SCORE_WINDOW, documents)
+    lanes = Lanes(SCORE_LANES, SCORE_WINDOW, documents, LONGEST_WINDOW)
     while lanes.fill():
         inputs, targets, valid = lanes.slices()
         states, _ = _run_window(w, inputs, lanes.state, keep=False)
@@ -381,16 +409,28 @@ def score_documents(w: Weights, documents: Iterator[tuple[object, Encoded]]) ->
         yield from lanes.advance(states[-1], logs.reshape(valid.shape).sum(axis=0))
 
 
+def _parts(item: tuple[object, Encoded]) -> Iterator[tuple[object, Encoded]]:
+    key, document = item
+    for start in range(0, len(document.targets), TRAIN_PART):
+        end = start + TRAIN_PART
+        yield key, replace(document, inputs=document.inputs[start:end], targets=document.targets[start:end])
+
+
 def train_documents(weights: Weights, documents: Iterator[tuple[object, Encoded]]) -> tuple[Weights, int]:
-    """Weights after one pass, and the tokens it saw."""
+    """Weights after one pass, and the tokens it saw.
+
+    A document of over TRAIN_PART tokens takes part as several lanes, each of
+    which begins without a state, so the longest ones don't run on alone.
+    """
     trainer, tokens = Trainer(weights), 0
-    lanes = Lanes(TRAIN_LANES, TRAIN_WINDOW, documents)
+    lanes = Lanes(TRAIN_LANES, TRAIN_WINDOW, (part for d in documents for part in _parts(d)))
     while lanes.fill():
         inputs, targets, valid = lanes.slices()
         state = trainer.window(inputs, targets, valid, lanes.state)
         tokens += int(valid.sum())
         for _ in lanes.advance(state):
             pass
+    trainer.step()
     return trainer.w, tokens
 
 

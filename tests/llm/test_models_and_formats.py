@@ -37,9 +37,8 @@ def test_gradients():
 
     trainer = recurrent_lm.Trainer({k: v.copy() for k, v in weights.items()}, rate=0.0)
     trainer.window(ids, targets, np.ones((5, 3), bool), state)
-    scale = recurrent_lm.TRAIN_LANES * recurrent_lm.TRAIN_WINDOW
     for name, value in weights.items():
-        grad = trainer.first[name] / (1 - float(recurrent_lm._KEEP_FIRST)) * scale
+        grad = trainer.grads[name]
         at = np.unravel_index(np.argmax(np.abs(grad)), grad.shape)
         up, down = ({k: v.copy() for k, v in weights.items()} for _ in range(2))
         up[name][at] += 1e-2
