@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from procsift.functions.text import lowered
@@ -12,6 +16,8 @@ from procsift.schema import FEATURES, KEY_PATTERNS
 from procsift.sources.unified import column_or_null
 
 PREDICTION = "_predicted"
+# A sketch of two to this many hashes counts that many distinct values exactly.
+_SKETCH_BITS = 10
 
 
 def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,10 +30,14 @@ def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("is_attack", F.coalesce("is_attack", F.lit(0)))
 
 
+def labelled_rows(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``df`` that have a label."""
+    return df.join(labels.select("event_id"), "event_id", "left_semi")
+
+
 def any_overlap(df: DataFrame, labels: DataFrame) -> bool:
     """Whether any row of ``df`` has a label."""
-    matched = df.select("event_id").join(labels.select("event_id"), "event_id", "left_semi")
-    return not matched.isEmpty()
+    return not labelled_rows(df.select("event_id"), labels).isEmpty()
 
 
 def precision_recall(labelled: DataFrame, predicted: Column) -> DataFrame:
@@ -161,6 +171,10 @@ def score_quantiles(
 
 def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows, smallest and largest value per column, as one row."""
+    return df.agg(*_spread_columns(columns))
+
+
+def _spread_columns(columns: list[str]) -> list[Column]:
     aggregates = []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
@@ -170,7 +184,7 @@ def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
             F.min(value).alias(f"lo{i}"),
             F.max(value).alias(f"hi{i}"),
         ]
-    return df.agg(*aggregates)
+    return aggregates
 
 
 def _left_closed_bin(value: Column, low: float, high: float, bins: int) -> Column:
@@ -247,19 +261,26 @@ def feature_histograms(
 ) -> DataFrame:
     """Left-closed bins of the first features: ``min(50, max(10, distinct))``.
 
-    Whether a column has fewer than 50 distinct values is counted exactly, and
-    no further than that.
+    Distinct values are counted together with the ranges, by sketches of the
+    smallest hashes, which are exact for as many values as matter here. So the
+    table is read twice, whatever the number of columns.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns][:first]
-    spread = _spread(features, names).first()
+    shape = "place int, feature string, bin bigint, lo double, hi double"
+    spark = features.sparkSession
+    if not names:
+        return spark.createDataFrame([], shape).drop("place").withColumn("n", F.lit(0).cast("bigint"))
+    distinct = [
+        F.theta_sketch_estimate(F.theta_sketch_agg(F.col(c).cast("double"), F.lit(_SKETCH_BITS))).alias(f"d{i}")
+        for i, c in enumerate(names)
+    ]
+    spread = features.agg(*_spread_columns(names), *distinct).first()
     entries = []
     shapes = []
     for i, c in enumerate(names):
         if spread[f"n{i}"] == 0:
             continue
-        present = features.select(c).where(F.col(c).isNotNull())
-        distinct = present.distinct().limit(50).count()
-        bins = min(50, max(10, distinct))
+        bins = min(50, max(10, int(spread[f"d{i}"])))
         low, high = _limits(spread[f"lo{i}"], spread[f"hi{i}"])
         value = F.col(c).cast("double")
         entries.append(
@@ -272,8 +293,7 @@ def feature_histograms(
         shapes += [
             (100 * i + b, c, b, low + (b - 1) * width, low + b * width) for b in range(1, bins + 1)
         ]
-    shape = "place int, feature string, bin bigint, lo double, hi double"
-    every = features.sparkSession.createDataFrame(shapes, shape)
+    every = spark.createDataFrame(shapes, shape)
     if not entries:
         return every.drop("place").withColumn("n", F.lit(0).cast("bigint"))
     counts = (
@@ -287,11 +307,44 @@ def feature_histograms(
     )
 
 
+def _moments(numbers: DataFrame, names: list[str], middle: list[float]) -> DataFrame:
+    """(i, j, n, sx, sxx, sxy): sums over the rows where columns i and j are
+    both present, of what is left of them without their ``middle``.
+
+    Products of matrices of values and of presence: a task adds up its batches
+    and sends one row for each pair, whatever the pattern of nulls.
+    """
+    size = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, size, size))
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            x = np.column_stack(columns) - middle
+            there = (~np.isnan(x)).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        i, j = np.indices((size, size))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), *[pa.array(m.ravel()) for m in sums]],
+            names=["i", "j", "n", "sx", "sxx", "sxy"],
+        )
+
+    return (
+        numbers.select(*names)
+        .mapInArrow(run, "i int, j int, n double, sx double, sxx double, sxy double")
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
+    )
+
+
 def feature_correlation(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of features, in long form.
 
-    A pair uses the rows where both are present; a constant column gives null.
-    Two aggregates over the table; rounding can't take a value beyond 1.
+    A pair uses the rows where both are present; a constant column gives null,
+    and so does a pair with an infinite value. Two passes: the columns' means,
+    then all pairs' moments around them, so large values cost no digits.
+    Rounding can't take a value beyond 1.
     """
     names = [c for c in (columns or FEATURES) if c in features.columns]
     shape = "feature_a string, feature_b string, correlation double"
@@ -300,27 +353,37 @@ def feature_correlation(features: DataFrame, columns: list[str] | None = None) -
         return spark.createDataFrame([], shape)
     numbers = features.select(*[F.col(c).cast("double").alias(c) for c in names])
     numbers = numbers.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
-    every = range(len(names))
-    counts = numbers.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    whole = [counts[f"n{i}"] == counts["n"] for i in every]
-    pairs = [(i, j) for i in every for j in range(i + 1, len(names))]
-    sums = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(names)]
-    for i, j in pairs:
-        a, b = F.col(names[i]), F.col(names[j])
-        sums.append(F.covar_pop(a, b).alias(f"c{i}_{j}"))
-        # Without nulls in the other column, a column's spread is its own.
-        if not whole[j]:
-            sums.append(F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"a{i}_{j}"))
-        if not whole[i]:
-            sums.append(F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"b{i}_{j}"))
-    row = numbers.agg(*sums).first().asDict()
-    cells = {(i, i): 1.0 if row[f"s{i}"] else None for i in every}
-    for i, j in pairs:
-        left = row.get(f"a{i}_{j}") if not whole[j] else row[f"s{i}"]
-        right = row.get(f"b{i}_{j}") if not whole[i] else row[f"s{j}"]
-        value = row[f"c{i}_{j}"] / (left * right) if left and right else None
-        cells[i, j] = cells[j, i] = value if value is None else max(-1.0, min(1.0, value))
-    return spark.createDataFrame([(names[i], names[j], cells[i, j]) for i in every for j in every], shape)
+    means = numbers.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    middle = [means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(len(names))]
+    infinite = [not math.isfinite(m) for m in middle]
+    middle = [0.0 if bad else m for m, bad in zip(middle, infinite, strict=True)]
+    cells = {(r["i"], r["j"]): r for r in _moments(numbers, names, middle).collect()}  # a row for each pair
+    found = {}
+    for i in range(len(names)):
+        for j in range(i, len(names)):
+            value = None
+            if (i, j) in cells and not infinite[i] and not infinite[j]:
+                value = _pearson(cells[i, j], cells[j, i], middle[i], middle[j])
+            found[i, j] = found[j, i] = 1.0 if i == j and value is not None else value
+    return spark.createDataFrame([(names[i], names[j], value) for (i, j), value in found.items()], shape)
+
+
+#: What is left of a constant column's squares by rounding, as a share of its own.
+_NO_SPREAD = 1e-24
+
+
+def _pearson(one: Row, other: Row, middle: float, other_middle: float) -> float | None:
+    """The correlation from the moments of a pair, seen from both sides."""
+    n = one["n"]
+    if not n:
+        return None
+    left = one["sxx"] / n - (one["sx"] / n) ** 2
+    right = other["sxx"] / n - (other["sx"] / n) ** 2
+    both = one["sxy"] / n - one["sx"] / n * (other["sx"] / n)
+    if not left > _NO_SPREAD * middle**2 or not right > _NO_SPREAD * other_middle**2:
+        return None
+    value = both / math.sqrt(left) / math.sqrt(right)
+    return max(-1.0, min(1.0, value)) if math.isfinite(value) else None
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from procsift.operators.quantiles import exact_quantiles
 from procsift.schema import FEATURES, TRACE_COLUMNS
-from procsift.session import dealt_out, store
+from procsift.session import store
 from procsift.sources.artifacts import model_matrix, read_optional
 
 # The default settings of the detector.
@@ -34,8 +34,10 @@ AUTO_OFFSET = -0.5
 # settings alone and is checked against this before the fit.
 MAX_NODES = 4_000_000
 
-# Rows that one task scores: walking all trees costs far more than moving a row.
-ROWS_PER_PART = 12_500
+# The matrix is written in small row groups, some ten thousand rows each: walking
+# all trees costs far more than reading a row, so a scan must be able to give
+# every core a part of a table that Parquet would keep in one group.
+MATRIX_GROUP_BYTES = 512 * 1024
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, size bigint, depth int"
 _UNIT = 1 << 52
@@ -239,6 +241,13 @@ def raw_scores(df: DataFrame, forest: Forest, name: str = "raw_score") -> DataFr
     return df.withColumn(name, score(*inputs))
 
 
+def scored_matrix(matrix: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
+    """Raw scores of a stored matrix, split by split: no row is moved."""
+    return raw_scores(matrix, forest).select(
+        "event_id", "raw_score", *[F.col(f"_keep_{c}").alias(c) for c in keep]
+    )
+
+
 def _decide(raw: DataFrame, offset: float) -> DataFrame:
     """Decision value, lower is more anomalous, and its 0/1 prediction."""
     decision = F.col("raw_score") - F.lit(float(offset))
@@ -269,7 +278,7 @@ def fit_and_score(
     wanted = SAMPLE_SIZE if max_samples == "auto" else int(max_samples)
     check_size(trees, wanted, max_nodes)
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
-    matrix = store(model_matrix(features, names, kept), "matrix").df
+    matrix = store(model_matrix(features, names, kept), "matrix", group_bytes=MATRIX_GROUP_BYTES).df
     n = matrix.count()
     if n == 0:
         raise ValueError("no rows to fit")
@@ -278,11 +287,7 @@ def fit_and_score(
     samples = tree_samples(matrix.select("event_id", *names), n, trees, size, seed)
     nodes = store(grow_trees(samples, names, limit, seed), "forest")
     draft = Forest(nodes.df, trees, size, names, 0.0, str(contamination))
-    dealt = dealt_out(matrix, n, ROWS_PER_PART, "event_id")
-    raw = raw_scores(dealt, draft).select(
-        "event_id", "raw_score", *[F.col(f"_keep_{c}").alias(c) for c in keep or []]
-    )
-    scored = store(raw, "raw").df
+    scored = store(scored_matrix(matrix, draft, keep or []), "raw").df
     if contamination == "auto":
         offset = AUTO_OFFSET
     else:

@@ -67,7 +67,6 @@ def _extend(
         Stored(by, by_size.path, by_size.rows, by_size.bytes),
         {"_last": "id"},
         {"hops": "_ahead"},
-        spread="id",
         limits=limits,
     )
     grown = F.concat("hops", F.coalesce("_ahead", F.array().cast("array<bigint>")))

@@ -6,9 +6,9 @@ Three plans, picked by measured size, all with the same result:
   events are not shuffled;
 * otherwise the values of the most frequent keys (a fixed number of them) are
   broadcast under a digest of the key, so that their size doesn't depend on how
-  long keys are, and only the remaining keys meet in a shuffle join. Events that
-  are already served, or have no key, are spread over all partitions by their
-  row id, so no partition collects a hot key.
+  long keys are. Events are stored in two parts: those that are served by then,
+  or have no key, and the rest. Only the rest, whose keys are rare, meets the
+  table in a shuffle join; the others are not shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsift.session import BROADCAST_BYTES, Stored
+from procsift.session import BROADCAST_BYTES, Stored, store
 
 HOT_KEYS = 10_000
-_SPREAD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,7 +50,6 @@ def lookup(
     values: dict[str, str],
     *,
     weight: str | None = None,
-    spread: str = "event_id",
     limits: LookupLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Add ``values`` (table column -> new name) to ``events``, null if absent.
@@ -91,21 +89,13 @@ def lookup(
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
-    needs_join = F.col("_hot").isNull() & has_key
-    # A key column, so that partitions follow it: 0 meets the table, the other
-    # values only spread rows. Written as an expression that is not constant,
-    # or the optimizer would drop it from the join keys.
-    served = served.withColumn(
-        "_salt",
-        F.when(needs_join, F.lit(0).cast("bigint")).otherwise(
-            F.pmod(F.xxhash64(spread), F.lit(_SPREAD)) + 1
-        ),
+    # Written once, in a folder for each kind: the rows of the one are read on
+    # without an exchange, only the other kind's meet the table in a shuffle.
+    parted = store(served.withColumn("_cold", F.col("_hot").isNull() & has_key), "lookup", parts="_cold").df
+    warm = parted.where(~F.col("_cold")).select(
+        *columns, *[F.col(f"_h_{n}").alias(n) for n in values.values()]
     )
-    cold = table.df.select(*wanted).withColumn(
-        "_salt", F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
-    )
-    joined = served.join(cold, [*keys, "_salt"], "left")
-    return joined.select(
-        *columns,
-        *[F.coalesce(f"_h_{n}", f"_v_{n}").alias(n) for n in values.values()],
+    cold = parted.where("_cold").join(table.df.select(*wanted), list(keys), "left").select(
+        *columns, *[F.col(f"_v_{n}").alias(n) for n in values.values()]
     )
+    return warm.unionAll(cold)

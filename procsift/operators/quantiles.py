@@ -47,11 +47,19 @@ def exact_quantiles(
     df: DataFrame, column: str, probs: list[float], *, max_values: int = MAX_VALUES
 ) -> list[float | None]:
     """The quantiles as Python floats; null and NaN are left out, an empty
-    column gives ``None`` for each."""
+    column gives ``None`` for each.
+
+    Two passes over the frame: one counts and sketches, one counts the values
+    around the wanted ranks and the rows between. Only where more than
+    ``max_values`` values may lie around them does the search narrow further.
+    """
     value = F.col(column).cast("double").alias("v")
     data = df.select(value).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    edges = sorted({e for p in probs for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))})
     size = data.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v", 0.02).alias("d")
+        F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct("v", 0.02).alias("d"),
+        F.percentile_approx("v", edges, _SKETCH).alias("edges"),
     ).first()
     n = size["n"]
     if n == 0:
@@ -62,7 +70,13 @@ def exact_quantiles(
         k = int(math.floor(position))
         places[p] = (k, min(k + 1, n - 1), position - k)
     wanted = sorted({r for lower, upper, _ in places.values() for r in (lower, upper)})
-    values = _order_statistics(data, n, wanted, max_values, size["d"])
+    found = dict(zip(edges, size["edges"], strict=True))
+    around = [(found[max(p - _MARGIN, 0.0)], found[min(p + _MARGIN, 1.0)]) for p in probs]
+    values = {}
+    if min(size["d"], 2 * _MARGIN * n * len(probs)) <= max_values:
+        values = _counted_around(data, _merged(around), wanted)
+    if len(values) < len(wanted):
+        values = _order_statistics(data, n, wanted, max_values, size["d"])
     result = []
     for p in probs:
         lower, upper, share = places[p]
@@ -71,6 +85,42 @@ def exact_quantiles(
     return result
 
 
+def _merged(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The ranges in order, those that touch as one."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _counted_around(data: DataFrame, ranges: list[tuple[float, float]], ranks: list[int]) -> dict[int, float]:
+    """The values at those of the ``ranks`` that lie inside the ranges, in one pass.
+
+    Every row counts: inside a range under its own value, else under the number
+    of ranges below it. So the rows before a value are known without a second look.
+    """
+    v = F.col("v")
+    below, inside = F.lit(0), F.lit(False)
+    for low, high in ranges:
+        below = below + (v > F.lit(high)).cast("int")
+        inside = inside | v.between(F.lit(low), F.lit(high))
+    counts = (
+        data.groupBy(below.alias("cell"), F.when(inside, v).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # In a cell the rows outside its range come before those inside: they are
+    # above the range before and under this one. What is sorted here is bounded.
+    end = F.sum("n").over(Window.orderBy("cell", F.asc_nulls_first("v")))
+    upto, before = F.col("upto"), F.col("upto") - F.col("n")
+    reached = F.array_compact(F.array(*[F.when((upto > r) & (before <= r), F.lit(r).cast("bigint")) for r in ranks]))
+    listed = counts.withColumn("upto", end).where("v is not null")
+    rows = listed.select("v", F.explode(reached).alias("rank")).collect()  # a row for each rank
+    return {r["rank"]: r["v"] for r in rows}
+
+
 def _between(a: float, b: float, share: float) -> float:
     """Linear interpolation; a rank on a value is that value, infinite or not."""
     if a == b or share == 0:

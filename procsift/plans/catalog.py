@@ -43,7 +43,7 @@ from procsift.sources import artifacts, intake, rawlogs
 from procsift.sources.artifacts import model_matrix, threshold_config
 from procsift.sources.bridge import RAW_TEXT, ndjson_text, process_events, process_view, sysmon_text
 from procsift.sources.unified import combined_events, to_unified
-from procsift.streaming.alerts import Snapshot, load_snapshot, save_snapshot, start_alerts
+from procsift.streaming.alerts import Snapshot, latest_snapshot, load_snapshot, save_snapshot, start_alerts
 from procsift.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +96,10 @@ def _rounded(df: DataFrame, *, digits: int = 6) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    return RAW_TEXT[source](process_events(spark, sf_dir))
+    """The raw lines of a source, written as a log and scanned."""
+    folder = scratch_path(spark, f"raw-{source}")
+    RAW_TEXT[source](process_events(spark, sf_dir)).write.text(folder)
+    return spark.read.text(folder)
 
 
 def _ingested(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
@@ -170,7 +173,7 @@ def sysmon_event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_raw(spark: SparkSession, sf_dir: str, label: str) -> str:
     folder = scratch_path(spark, label)
     for source, name in RAW_FILES.items():
-        _raw(spark, sf_dir, source).write.text(f"{folder}/{name}")
+        RAW_TEXT[source](process_events(spark, sf_dir)).write.text(f"{folder}/{name}")
     return folder
 
 
@@ -181,13 +184,18 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined_events(spark, folder).drop("event_id")
 
 
-@query
-def ingested_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids in the order of sources, files and lines, over several sorted files."""
+def _sorted_logs(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_path(spark, "sorted-logs")
-    view = process_events(spark, sf_dir).orderBy("event_id")
+    view = process_events(spark, sf_dir).repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
     for source, name in RAW_FILES.items():
         RAW_TEXT[source](view).write.text(f"{folder}/{name}")
+    return folder
+
+
+@query
+def ingested_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the order of sources, files and lines, over several sorted files."""
+    folder = _sorted_logs(spark, sf_dir)
     return combined_events(spark, folder).select("event_id", "source", "timestamp", "pid", "command_line")
 
 
@@ -340,8 +348,9 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named("heuristic_labels")
 def labels_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = add_row_features(_prepped(spark, sf_dir))
-    return heuristic_labels(rows).select("event_id", "is_attack")
+    """Stored once, so that the features aren't computed again for the cut."""
+    rows = add_row_features(_prepped(spark, sf_dir), LABEL_INPUTS).select("event_id", *LABEL_INPUTS)
+    return heuristic_labels(store(rows, "label-inputs").df).select("event_id", "is_attack")
 
 
 @named("top_suspicious")
@@ -465,18 +474,18 @@ def anomaly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions with labels of two thirds of the rows, the others as 0."""
+    """Predictions with a label table that lists attacks only: the others are 0."""
     rows = add_row_features(_prepped(spark, sf_dir))
-    labels = heuristic_labels(rows).where(F.col("pid") % 3 != 0)
+    labels = heuristic_labels(rows).where("is_attack = 1")
     return evaluate.with_labels(rows.select("event_id"), labels)
 
 
 @query
 def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that have a label, the semi join behind the evaluation check."""
+    """Rows that have a label in a table that lists attacks only."""
     rows = add_row_features(_prepped(spark, sf_dir))
-    labels = heuristic_labels(rows).where(F.col("pid") % 3 != 0)
-    return rows.select("event_id").join(labels.select("event_id"), "event_id", "left_semi")
+    labels = heuristic_labels(rows).where("is_attack = 1")
+    return evaluate.labelled_rows(rows, labels).select("event_id")
 
 
 @query
@@ -805,6 +814,10 @@ def job_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gate_job(spark: SparkSession, sf_dir: str) -> str:
+    return _gate_job_report(spark, sf_dir)[0]
+
+
+def _gate_job_report(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
     """The gate after the feature job, with ``value`` as the score."""
     output = _feature_job(spark, sf_dir)
     prepped = spark.read.parquet(f"{output}/events_prepped.parquet")
@@ -813,8 +826,7 @@ def _gate_job(spark: SparkSession, sf_dir: str) -> str:
         f"{output}/scored_events.parquet",
         by_source=True,
     )
-    jobs.gate_job(spark, output, attributions=False)
-    return output
+    return output, jobs.gate_job(spark, output, attributions=False)
 
 
 @query
@@ -825,6 +837,118 @@ def job_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "anomaly_score", "risk_level", "flagged", "explanation")
 
 
+@query
+def job_gate_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate report's pattern counts."""
+    return _gate_job_report(spark, sf_dir)[1]["patterns"]
+
+
+@query
+def job_gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate report's metrics, against the labels that the feature job stored."""
+    return _rounded(_gate_job_report(spark, sf_dir)[1]["metrics"])
+
+
+@query
+def job_gate_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gate_job_report(spark, sf_dir)[1]["confusion"]
+
+
+@query
+def job_gate_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top flagged events, read back from the job's CSV file."""
+    output = _gate_job(spark, sf_dir)
+    top = spark.read.csv(f"{output}/top_flagged_gated.csv", header=True, escape='"')
+    return top.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("anomaly_score").cast("double").alias("anomaly_score"),
+        "risk_level",
+        "explanation",
+    )
+
+
+@query
+def job_top_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most suspicious events of the feature job, read back from its CSV file."""
+    output = _feature_job(spark, sf_dir)
+    top = spark.read.csv(f"{output}/top_suspicious.csv", header=True, escape='"')
+    return top.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        "process_image",
+        F.col("suspicion").cast("int").alias("suspicion"),
+    )
+
+
+def _eda(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    output = scratch_path(spark, "job-eda")
+    return jobs.feature_job(process_events(spark, sf_dir), output, importances=False)
+
+
+@query
+def job_eda_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlations of the feature job's report."""
+    return _rounded(_eda(spark, sf_dir)["correlation"])
+
+
+@query
+def job_eda_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_eda(spark, sf_dir)["histograms"])
+
+
+def _score_job(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
+    """The score job after the feature job, with its own fitted forest."""
+    output = _feature_job(spark, sf_dir)
+    return output, jobs.score_job(spark, output)
+
+
+@query
+def job_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored forest, loaded again, gives every stored score."""
+    output, _ = _score_job(spark, sf_dir)
+    model = forest.load_forest(spark, f"{output}/forest")
+    stored = spark.read.parquet(f"{output}/scored_events.parquet")
+    again = forest.score(spark.read.parquet(f"{output}/X_features.parquet"), model).select(
+        "event_id", F.col("anomaly_score").alias("again"), F.col("is_anomaly").alias("again_anomaly")
+    )
+    same = F.col("anomaly_score").eqNullSafe(F.col("again")) & (F.col("is_anomaly") == F.col("again_anomaly"))
+    return stored.join(again, "event_id", "full").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.coalesce(same, F.lit(False))).alias("other_scores"),
+        F.count("process_image").alias("with_trace"),
+        (F.sum("is_anomaly") <= F.lit(forest.CONTAMINATION) * F.count(F.lit(1)) + 1).alias("rate_ok"),
+        F.lit(model.trees).cast("bigint").alias("trees"),
+    )
+
+
+@query
+def job_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the score report must agree on: its tables with the stored scores."""
+    output, report = _score_job(spark, sf_dir)
+    stored = spark.read.parquet(f"{output}/scored_events.parquet")
+    low = {r["p"]: r["score"] for r in report["thresholds"].collect()}  # two rows
+    described, metrics = report["describe"].first(), report["metrics"].first()
+    top = spark.read.csv(f"{output}/top_anomalies.csv", header=True, escape='"').select(
+        F.col("anomaly_score").cast("double").alias("listed")
+    )
+    return stored.agg(
+        F.lit(described["count"]).cast("bigint").alias("described"),
+        F.lit(report["histogram"].agg(F.sum("n")).first()[0]).cast("bigint").alias("in_histogram"),
+        (F.count_if(F.col("anomaly_score") < low[0.05]) <= 0.05 * F.count(F.lit(1))).alias("q05_ok"),
+        (F.count_if(F.col("anomaly_score") <= low[0.10]) >= 0.10 * F.count(F.lit(1)) - 1).alias("q10_ok"),
+        (F.sum("is_anomaly") == F.lit(metrics["tp"] + metrics["fp"])).alias("metrics_ok"),
+        (F.abs(F.min("anomaly_score") - F.lit(top.agg(F.min("listed")).first()[0])) < 1e-12).alias("top_ok"),
+        F.lit(top.count()).cast("bigint").alias("listed"),
+    )
+
+
+@query
+def importance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importances come largest first, equal ones by name."""
+    rows = [(r["importance"], r["feature"]) for r in rf_importance(spark, sf_dir).collect()]  # a row for each feature
+    ordered = rows == sorted(rows, key=lambda r: (-r[0], r[1]))
+    return spark.createDataFrame([(len(rows), ordered)], "features bigint, ordered boolean")
+
+
 @query
 def job_gate_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold in the stored JSON object."""
@@ -919,3 +1043,42 @@ def stream_alerts_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "snapshot")
     save_snapshot(_snapshot(spark, sf_dir), path)
     return _stream_alerts(spark, sf_dir, load_snapshot(spark, path))
+
+
+def _pid_score(rows: DataFrame) -> DataFrame:
+    """A stand-in for the forest, of columns that raw logs have."""
+    score = (F.col("pid") * 31 + F.col("ppid") * 17) % 1009 / F.lit(1009.0) - F.lit(0.02)
+    return rows.withColumn("anomaly_score", score)
+
+
+def end_to_end(spark: SparkSession, sf_dir: str, max_files: int | None) -> DataFrame:
+    """Alerts of raw files: a batch run leaves the snapshot, then one stream
+    reads the files and a second one the first one's table."""
+    folder = _sorted_logs(spark, sf_dir)
+    batch = prep_events(store(combined_events(spark, folder), "batch-events").df)
+    scored = _pid_score(add_row_features(batch))
+    bounds = gating.risk_bounds(scored)
+    output = scratch_path(spark, "end-to-end")
+    save_snapshot(Snapshot(graph_table(batch), pair_table(batch), bounds, bounds["High"]), f"{output}/snapshot")
+    events = f"{output}/events"
+    start_ingest(
+        spark, {s: f"{folder}/{name}" for s, name in RAW_FILES.items()}, events, f"{output}/ingested", max_files=max_files
+    ).awaitTermination()
+    start_alerts(
+        spark.readStream.schema(spark.read.parquet(events).schema).parquet(events),
+        latest_snapshot(spark, f"{output}/snapshot"),
+        f"{output}/alerts",
+        f"{output}/alerted",
+        scorer=_pid_score,
+    ).awaitTermination()
+    return spark.read.parquet(f"{output}/alerts")
+
+
+@query
+def stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(
+        end_to_end(spark, sf_dir, 3).select(
+            "source", "timestamp", "pid", "ppid", "command_line", "pid_depth", "time_delta_parent",
+            "rare_parent_child", "risk_level", "explanation",
+        )
+    )

@@ -81,6 +81,22 @@ def ingest_job(
     return ingest_report(spark.read.parquet(path))
 
 
+# --- the stream's snapshot ------------------------------------------------------
+
+
+def _stage(spark: SparkSession, output: str, **parts: str) -> None:
+    """Parts of the next snapshot, as the jobs of one run leave them."""
+    alerts.publish(spark, f"{output}/snapshot/staged", **parts)
+
+
+def _publish(spark: SparkSession, output: str, **parts: str) -> None:
+    """All parts of a run as one version, if its jobs have left them all."""
+    _stage(spark, output, **parts)
+    staged = alerts.latest_parts(spark, f"{output}/snapshot/staged")
+    if "tables" in staged:
+        alerts.publish(spark, f"{output}/snapshot", **staged)
+
+
 # --- features -----------------------------------------------------------------
 
 
@@ -110,7 +126,7 @@ def feature_job(
     prepped.write.mode("overwrite").parquet(f"{output}/events_prepped.parquet")
     prepped = spark.read.parquet(f"{output}/events_prepped.parquet")
     graph, pairs = graph_table(prepped), pair_table(prepped)
-    alerts.save_tables(graph, pairs, f"{output}/snapshot")
+    tables = alerts.save_tables(graph, pairs, f"{output}/snapshot")
     features = build_features(prepped, graph=graph, pairs=pairs)
     features.write.mode("overwrite").parquet(f"{output}/X_features.parquet")
     features = spark.read.parquet(f"{output}/X_features.parquet")
@@ -127,6 +143,7 @@ def feature_job(
     top = shown.join(F.broadcast(leaders), "event_id").orderBy(F.desc("suspicion"), "event_id")
     artifacts.save_top(top, f"{output}/top_suspicious.csv")
     report["top_suspicious"] = top
+    _stage(spark, output, tables=tables)
     return report
 
 
@@ -170,6 +187,7 @@ def score_job(
         features, contamination=contamination, trees=trees, max_samples=max_samples
     )
     forest.save_forest(model, f"{output}/forest")
+    _stage(spark, output, forest=alerts.save_model(model, f"{output}/snapshot"))
     artifacts.save_scored(
         forest.with_trace(scores, events), f"{output}/scored_events.parquet"
     )
@@ -218,7 +236,7 @@ def gate_job(
     bounds = gating.risk_bounds(scored)
     threshold = bounds["High"] if score_threshold is None else score_threshold
     gated = gating.add_risk_level(merged, bounds=bounds)
-    alerts.save_limits(spark, bounds, threshold, f"{output}/snapshot")
+    limits = alerts.save_limits(spark, bounds, threshold, f"{output}/snapshot")
     gated, threshold = gating.add_flagged(gated, threshold)
     gated = gating.add_explanations(gated)
     model = forest.load_forest(spark, model_path or f"{output}/forest") if attributions else None
@@ -235,6 +253,7 @@ def gate_job(
         shap_enabled=model is not None and not with_text.isEmpty(),
     )
     artifacts.save_config(report["config"], f"{output}/threshold_config.json")
+    _publish(spark, output, limits=limits)
     return report
 
 
@@ -297,11 +316,11 @@ def stream_ingest_job(
 
 
 def stream_alerts_job(spark: SparkSession, events_path: str, output: str) -> None:
-    """New files of an event table with ids, gated against the snapshot and the
-    forest that the batch jobs left in ``output``, to ``alerts_stream``."""
-    snapshot = alerts.load_snapshot(spark, f"{output}/snapshot", f"{output}/forest")
+    """New files of an event table with ids, such as the stream ingest writes,
+    gated against the last snapshot that the batch jobs published in ``output``,
+    to ``alerts_stream``."""
     schema = spark.read.parquet(events_path).schema
     events = spark.readStream.schema(schema).parquet(events_path)
     alerts.start_alerts(
-        events, snapshot, f"{output}/alerts_stream", f"{output}/alerts_checkpoint"
+        events, alerts.latest_snapshot(spark, f"{output}/snapshot"), f"{output}/alerts_stream", f"{output}/alerts_checkpoint"
     ).awaitTermination()

@@ -497,14 +497,8 @@ FROM (SELECT count(*) FILTER (WHERE {hit} AND is_attack = 1) AS tp,
 
 
 _add("anomaly_metrics", _sql("labels bounds", _metrics("anomaly_score < q05", "labels, bounds")))
-_add(
-    "labelled_predictions",
-    _sql(
-        "labels",
-        "SELECT event_id, CASE WHEN pid % 3 <> 0 THEN is_attack ELSE 0 END AS is_attack FROM labels",
-    ),
-)
-_add("label_overlap", _sql("labels", "SELECT event_id FROM labels WHERE pid % 3 <> 0"))
+_add("labelled_predictions", _sql("labels", "SELECT event_id, is_attack FROM labels"))
+_add("label_overlap", _sql("labels", "SELECT event_id FROM labels WHERE is_attack = 1"))
 _add(
     "scored_with_trace",
     _sql(
@@ -701,6 +695,27 @@ FROM gated JOIN feats USING (event_id) WHERE flagged""",
     ),
 )
 
+# The events as raw logs give them: ids in the order of sources and lines, a
+# blank XML item is null, and a score of columns that logs have.
+_LOGGED = """,
+ev AS (
+  SELECT row_number() OVER (ORDER BY CASE source WHEN 'falcon' THEN 0 WHEN 'security_4688' THEN 1 ELSE 2 END,
+      event_id) - 1 AS event_id,
+    "timestamp", event_type, source, process_image, parent_image,
+    CASE WHEN source = 'falcon' THEN command_line ELSE nullif(command_line, '') END AS command_line,
+    pid, ppid, target_image, target_pid, (pid * 31 + ppid * 17) % 1009 / 1009.0::DOUBLE - 0.02::DOUBLE AS value
+  FROM view_events)"""
+_add(
+    "stream_end_to_end",
+    _sql(
+        "feats gated",
+        """SELECT source, "timestamp", pid, ppid, command_line, pid_depth,
+  round(time_delta_parent, 6) + 0.0 AS time_delta_parent,
+  round(feats.rare_parent_child, 6) + 0.0 AS rare_parent_child, risk_level, explanation
+FROM gated JOIN feats USING (event_id) WHERE flagged""",
+    ).replace(_EV, "view_" + _EV.replace("ev AS (", "events AS (", 1) + _LOGGED, 1),
+)
+
 # --- the same results by other ways ----------------------------------------------
 
 for _name, _twin in {
@@ -712,6 +727,11 @@ for _name, _twin in {
     "job_labels": "heuristic_labels",
     "job_gate": "explanations",
     "stream_alerts_reloaded": "stream_alerts",
+    "job_gate_patterns": "pattern_sanity",
+    "job_gate_metrics": "gate_metrics",
+    "job_gate_confusion": "confusion_matrix",
+    "job_eda_correlation": "feature_correlation",
+    "job_eda_histograms": "feature_histograms",
 }.items():
     _add(_name, ORACLES[_twin])
 _add(
@@ -776,3 +796,43 @@ _add(
 FROM prep""",
     ),
 )
+_add(
+    "job_gate_top",
+    _sql(
+        "gated",
+        """SELECT event_id, anomaly_score, risk_level, explanation FROM gated WHERE flagged
+ORDER BY anomaly_score, event_id LIMIT 20""",
+    ),
+)
+_add(
+    "job_top_csv",
+    _sql(
+        "rowf",
+        """SELECT event_id, process_image, suspicious_parent + dump_precursor + hidden_flags AS suspicion
+FROM rowf ORDER BY suspicion DESC, event_id LIMIT 20""",
+    ),
+)
+_add(
+    "job_score",
+    _sql(
+        "prep",
+        """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS other_scores, count(*) AS with_trace, true AS rate_ok,
+  CAST(150 AS BIGINT) AS trees FROM prep""",
+    ),
+)
+_add(
+    "job_score_report",
+    _sql(
+        "prep",
+        """SELECT count(*) AS described, count(*) AS in_histogram, true AS q05_ok, true AS q10_ok,
+  true AS metrics_ok, true AS top_ok, least(count(*), 20) AS listed FROM prep""",
+    ),
+)
+_add(
+    "importance_order",
+    _sql(
+        "prep",
+        f"""SELECT CAST({len(FEATURES)} AS BIGINT) AS features, true AS ordered
+FROM (SELECT count(*) AS n FROM prep) WHERE n > 0""",
+    ),
+)

@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .appName("procsift")
         .config("spark.sql.shuffle.partitions", parallel)
         .config("spark.sql.adaptive.enabled", "true")
+        # A scan of a few megabytes is split for all cores too.
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
@@ -101,9 +103,11 @@ class Stored:
     total: int | None = None
 
 
-def store(df: DataFrame, label: str) -> Stored:
+def store(df: DataFrame, label: str, *, group_bytes: int | None = None, parts: str | None = None) -> Stored:
     """Write ``df`` once and read it back: cuts the lineage, survives lost
-    executors, and measures the table while writing it.
+    executors, and measures the table while writing it. ``group_bytes`` is the
+    size of its row groups, where a scan is to be split further than usual;
+    ``parts`` a column by whose values the table is laid out.
 
     A retried task can be counted twice, so ``rows`` and ``bytes`` are upper
     bounds: right for broadcast decisions, not for results.
@@ -119,11 +123,12 @@ def store(df: DataFrame, label: str) -> Stored:
     for name in arrays:
         width = width + F.lit(8) * F.coalesce(F.size(F.col(name)), F.lit(0)) + F.lit(16)
     seen = Observation()
-    (
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"))
-        .write.mode("errorifexists")
-        .parquet(path)
-    )
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).write
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    if parts:
+        writer = writer.partitionBy(parts)
+    writer.mode("errorifexists").parquet(path)
     metrics = seen.get
     return Stored(
         df=spark.read.schema(df.schema).parquet(path),

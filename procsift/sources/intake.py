@@ -12,6 +12,7 @@ from procsift.functions.times import parse_utc
 from procsift.operators.gating import add_risk_level
 from procsift.schema import INTAKE_COLUMNS
 from procsift.sources.artifacts import READ_ERRORS
+from procsift.sources.csvsplits import read_broken_csv
 
 ALIASES = {"image": "process_image", "parent image": "parent_image"}
 
@@ -105,18 +106,22 @@ def has_broken_lines(spark: SparkSession, path: str) -> bool:
 def read_intake(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> Intake:
     """CSV (with header) or Parquet by extension, then the checks.
 
-    A CSV file whose quoted values hold line breaks is read by one task each,
-    any other one in splits; one look at its lines decides, unless
-    ``multi_line`` does. Both ways give the same rows where both apply.
+    Files are read in splits, also where quoted values hold line breaks; only
+    those whose quotes don't tell where values begin are read by one task each.
+    ``multi_line`` decides without a look: true for one task each, false for
+    lines. All ways give the same rows where they apply.
     """
     name = path.lower().rstrip("/")
     try:
         if name.endswith(".parquet"):
             df = spark.read.parquet(path)
         elif name.endswith(".csv"):
+            df = None
             if multi_line is None:
                 multi_line = has_broken_lines(spark, path)
-            df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+                df = read_broken_csv(spark, path) if multi_line else None
+            if df is None:
+                df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
         else:
             return Intake(None, "not a .csv or .parquet file")
     except READ_ERRORS as error:

@@ -97,16 +97,20 @@ def _xml_events(lines: DataFrame) -> DataFrame:
     event = F.from_xml(F.col("value"), _EVENT_XML, _XML_OPTIONS)
     text = F.trim("value")
     single = text.endswith(">") & (F.regexp_count(text, F.lit(_CLOSING)) <= 1)
-    return _once(lines, F.array(event), "_event").withColumn(
-        "malformed",
-        F.col("value").isNull() | F.col("_event._malformed").isNotNull() | ~single,
+    items = F.reverse("_event.EventData.Data")
+    return _once(lines, F.array(event), "_event").select(
+        "*",
+        (F.col("value").isNull() | F.col("_event._malformed").isNotNull() | ~single).alias("malformed"),
+        items["_Name"].alias("_names"),
+        items["_VALUE"].alias("_values"),
     )
 
 
 def _data_item(name: str) -> Column:
-    """The last ``Data`` item of that name; an empty element is null."""
-    named = F.filter("_event.EventData.Data", lambda d: d["_Name"] == name)
-    return F.nullif(F.try_element_at(named, F.lit(-1))["_VALUE"], F.lit(""))
+    """The last ``Data`` item of that name; an empty element is null. Items are
+    listed backwards, so it is the first that has the name."""
+    place = F.nullif(F.array_position("_names", F.lit(name)), F.lit(0).cast("bigint"))
+    return F.nullif(F.try_element_at("_values", place.cast("int")), F.lit(""))
 
 
 def _event_id() -> Column:
@@ -123,7 +127,7 @@ def security_lines(lines: DataFrame) -> DataFrame:
             _event_id().alias("EventID"),
             *[_data_item(f).alias(f) for f in SECURITY_FIELDS],
         )
-        .drop("_event")
+        .drop("_event", "_names", "_values")
     )
 
 
@@ -137,7 +141,7 @@ def sysmon_lines(lines: DataFrame) -> DataFrame:
             F.col("_event.System.TimeCreated._SystemTime").alias("TimeCreated"),
             *[_data_item(f).alias(f) for f in SYSMON_FIELDS],
         )
-        .drop("_event")
+        .drop("_event", "_names", "_values")
     )
 
 
