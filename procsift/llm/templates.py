@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from procsift.llm.common import fresh, stored, text_of
 
 WINDOW = 8
-#: Shorter items have too few words to tell a leak from chance.
+#: Shorter items have too few words to tell a leak from chance; a parameter
+#: (``min_words``), as below it only a whole item with its own values is evidence.
 MIN_WORDS = 5
 #: A window with so many words that are no placeholders is evidence by itself.
 #: Others count along with one of these, in an item that is met whole and has
@@ -99,26 +100,64 @@ def _hash(words: Column, start: Column, length: Column) -> Column:
     return F.xxhash64(F.slice(words, start + 1, length))
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, text_id, item_windows, item_literals, strong, length, item_pos,
-    hash, item_values, anchor, at) of all windows of all items.
+def _pattern(slots: Column) -> Column:
+    """Which slots have equal values: for each the place of the first one like it."""
+    values = F.transform(slots, lambda s: s["value"])
+    return F.transform(slots, lambda s: F.array_position(values, s["value"]))
 
-    Rows that repeat an item_id and its text are one item; ``text_id`` tells
-    the texts of an item_id apart. An item of fewer words than a window is one
-    window of its own length. The anchor is the hash of a window's longest
-    literal word, ``at`` its place; a window without any has a placeholder as
-    its anchor. ``strong`` windows have MIN_LITERALS literal words.
+
+def template_members(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(template, item_id, words, slots): each distinct text of the benchmark with its class.
+
+    Texts of equal canonical words, whose equal slots are the same ones, are one
+    class; ``template`` is a number for it. Items that differ in their numbers,
+    names and units only, such as generated sums, are members of one class.
     """
     texts = items.where(F.col("item_id").isNotNull()).select("item_id", text_of(items).alias("text")).distinct()
-    rows = with_slots(
-        with_template(texts.withColumn("text_id", F.xxhash64("text")), "item_id", "text_id"), "item_id", "text_id"
+    rows = with_slots(with_template(texts, "item_id"), "item_id").where(F.size("words") >= min_words)
+    rows = rows.withColumn("pattern", _pattern(F.col("slots")))
+    # The class is the group of words and pattern itself; its number is given once, in a stored table.
+    classes = stored(
+        rows.groupBy("words", "pattern").agg(F.count(F.lit(1)).alias("n")).withColumn("template", F.monotonically_increasing_id()),
+        "template-classes",
     )
+    named = rows.join(classes.select("words", "pattern", "template"), ["words", "pattern"])
+    return stored(named.select("template", "item_id", "words", "slots"), "template-members")
+
+
+def _windows_of(rows: DataFrame, window: int, *keep: str) -> DataFrame:
+    """``keep``, words, slots, and length and item_pos of every window."""
     length = F.least(F.lit(window), F.size("words"))
-    rows = rows.where(F.size("words") >= MIN_WORDS).select(
-        "*",
+    return rows.select(
+        *keep,
+        "words",
+        "slots",
         length.alias("length"),
         F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("item_pos"),
     )
+
+
+def _member_values() -> Column:
+    return F.xxhash64(_values(F.col("slots"), F.col("item_pos"), F.col("length")))
+
+
+def template_windows(members: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(template, item_id, n_items, item_windows, item_literals, strong, length, item_pos,
+    hash, item_values, anchor, at) of all windows of all classes.
+
+    One member stands for its class, ``item_id`` is the smallest of the class's
+    ids. A template of fewer words than a window is one window of its own
+    length. The anchor is the hash of a window's longest literal word, ``at``
+    its place; a window without any has a placeholder as its anchor. ``strong``
+    windows have MIN_LITERALS literal words.
+    """
+    classes = members.groupBy("template").agg(
+        F.min("item_id").alias("item_id"),
+        F.count_distinct("item_id").alias("n_items"),
+        F.min(F.struct("item_id", "slots", "words")).alias("first"),
+    )
+    rows = classes.select("template", "item_id", "n_items", "first.words", "first.slots")
+    rows = _windows_of(rows, window, "template", "item_id", "n_items")
     words = F.slice(F.col("words"), F.col("item_pos") + 1, F.col("length"))
     marked = F.transform(
         words,
@@ -131,8 +170,9 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         rows.withColumn("marked", marked)
         .withColumn("longest", F.array_max("marked"))
         .select(
+            "template",
             "item_id",
-            "text_id",
+            "n_items",
             (F.size("words") - F.col("length") + 1).alias("item_windows"),
             F.size(F.filter("words", _literal)).alias("item_literals"),
             (literals >= F.least(F.lit(MIN_LITERALS), F.col("length"))).alias("strong"),
@@ -182,34 +222,44 @@ def contamination(
     coverage: float = COVERAGE,
     run_words: int = RUN_WORDS,
     broadcast_rows: int = BROADCAST_ROWS,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage, aligned) of each document
-    that holds a benchmark item, as it is or with other numbers, names or units.
+    """(doc_id, item_id, n_items, n_windows, item_windows, coverage, aligned) of each
+    document that holds a benchmark item, as it is or with other numbers, names or units.
+
+    Items of one template are one class (``template_members`` lists them), so a
+    document has one row for a class, however many items that has: ``item_id``
+    is the smallest and ``n_items`` the number of those it may be taken from.
 
     Template windows of ``window`` words are joined by hash. Matches of one
-    document and item at one distance of their places belong to one occurrence;
+    document and class at one distance of their places belong to one occurrence;
     it counts if its slots are consistent, that is, if equal values of the item
     have equal values in the document throughout, and if it has a window of
     MIN_LITERALS literal words, or is the whole of an item with WHOLE_LITERALS
-    of them, or has the item's own values. ``coverage`` is the share of
-    the item's windows that consistent occurrences match, ``aligned`` the most
-    windows that one of them does. A document holds an item from a share of
-    ``coverage`` on, or from as many aligned windows as ``run_words`` words have.
-
-    Null and empty texts have no window. Items under five words are never
-    reported. Rows that repeat a doc_id count once, its texts together. Rows that
-    repeat an item_id and its text count once; of an item_id's different texts
-    the one with the most coverage counts. Null ids are left out.
+    of them; these hold for all members. Any other occurrence counts for the
+    members whose own values it has, which a join by value finds. ``coverage``
+    is the share of the item's windows that consistent occurrences match,
+    ``aligned`` the most windows that one of them does. A document holds an
+    item from a share of ``coverage`` on, or from as many aligned windows as
+    ``run_words`` words have.
+
+    Null and empty texts have no window. Items under ``min_words`` words are
+    not looked for. Rows that repeat a doc_id count once, its texts together.
+    Rows that repeat an item_id and its text count once; of classes that report
+    the same item_id for a document the one of most coverage counts. Null ids
+    are left out.
     """
-    items = stored(benchmark_windows(benchmark, window), "template-windows")
+    members = template_members(benchmark, min_words)
+    items = stored(template_windows(members, window), "template-windows")
     items_only = items.drop("anchor", "at")
     met = stored(
         document_windows(docs, items, broadcast_rows)
         .join(items_only, ["hash", "length"])
         .select(
             "doc_id",
+            "template",
             "item_id",
-            "text_id",
+            "n_items",
             "item_windows",
             "item_literals",
             "strong",
@@ -228,10 +278,11 @@ def contamination(
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     doc_values = _values(F.col("slots"), F.col("pos"), F.col("length"))
     pairs = F.zip_with(F.col("item_values"), doc_values, lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    key = ["doc_id", "item_id", "text_id", "item_windows", "item_literals"]
+    key = ["doc_id", "template", "item_id", "n_items", "item_windows", "item_literals"]
+    no_values = F.array().cast("array<string>")
     found = (
         filled.join(slots, F.col("doc_id") == F.col("owner"))
-        .select(*key, "strong", "item_pos", shift, pairs.alias("pairs"))
+        .select(*key, "strong", "item_pos", shift, pairs.alias("pairs"), F.xxhash64(doc_values).alias("values"))
         .unionAll(
             met.where(F.size("item_values") == 0).select(
                 *key,
@@ -239,25 +290,51 @@ def contamination(
                 "item_pos",
                 shift,
                 F.array().cast("array<struct<item:string,doc:string>>").alias("pairs"),
+                F.xxhash64(no_values).alias("values"),
             )
         )
     )
-    occurrences = found.groupBy(*key, "shift").agg(
-        F.collect_set("item_pos").alias("at"),
-        F.max("strong").alias("strong"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+    # A document that repeats its id may have several texts with a window in one place.
+    at = F.array_distinct("at.item_pos")
+    occurrences = stored(
+        found.groupBy(*key, "shift")
+        .agg(
+            F.collect_set(F.struct("item_pos", "values")).alias("at"),
+            F.max("strong").alias("strong"),
+            F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        )
+        .where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
+        .withColumn("whole", (F.size(at) == F.col("item_windows")) & (F.col("item_literals") >= WHOLE_LITERALS))
+        .select(*key, "shift", "at", (F.col("strong") | F.col("whole")).alias("enough")),
+        "template-occurrences",
+    )
+    sure = occurrences.where("enough").select(*key, at.alias("at"))
+    weak = occurrences.where(~F.col("enough"))
+    asked = weak.select("template").distinct()
+    values = _windows_of(members.join(asked, "template", "left_semi"), window, "template", "item_id").select(
+        "template", F.col("item_id").alias("own_id"), "item_pos", _member_values().alias("values"), "slots"
+    )
+    by_value = (
+        weak.select(*key, "shift", F.size(at).alias("size"), F.explode("at").alias("w"))
+        .select(*key, "shift", "size", "w.item_pos", "w.values")
+        .join(values, ["template", "item_pos", "values"])
+        .groupBy(*key, "shift", "size", "own_id", "slots")
+        .agg(F.collect_set("item_pos").alias("at"))
+        .where(F.size("at") == F.col("size"))
+    )
+    rest = [c for c in key if c not in ("item_id", "n_items")]
+    equal = by_value.groupBy(*rest, "shift").agg(
+        F.min("own_id").alias("item_id"), F.count_distinct("own_id").alias("n_items"), F.first("at").alias("at")
     )
-    whole = (F.size("at") == F.col("item_windows")) & (F.col("item_literals") >= WHOLE_LITERALS)
-    equal = F.forall("pairs", lambda p: p["item"].eqNullSafe(p["doc"]))
-    consistent = occurrences.where(
-        F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    ).where(F.col("strong") | whole | equal)
     found = (
-        consistent.select(*key, F.size("at").cast("bigint").alias("aligned"), F.explode("at").alias("at"))
-        .groupBy(*key, "at")
-        .agg(F.max("aligned").alias("aligned"))
-        .groupBy("doc_id", "item_id", "text_id")
+        sure.unionByName(equal.select(*key, "at"))
+        .select(*rest, "item_id", "n_items", F.size("at").cast("bigint").alias("aligned"), F.explode("at").alias("at"))
+        .groupBy(*rest, "at")
+        .agg(F.max("aligned").alias("aligned"), F.min("item_id").alias("item_id"), F.max("n_items").alias("n_items"))
+        .groupBy("doc_id", "template")
         .agg(
+            F.min("item_id").alias("item_id"),
+            F.max("n_items").alias("n_items"),
             F.count(F.lit(1)).alias("n_windows"),
             F.max("item_windows").cast("bigint").alias("item_windows"),
             F.max("aligned").alias("aligned"),
@@ -265,11 +342,13 @@ def contamination(
         .withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
         .where((F.col("coverage") >= coverage) | (F.col("aligned") > run_words - window))
     )
-    best = F.max(F.struct("coverage", "aligned", "n_windows", "item_windows")).alias("best")
+    best = F.max(F.struct("coverage", "aligned", "n_windows", "item_windows", "n_items")).alias("best")
     return (
         found.groupBy("doc_id", "item_id")
         .agg(best)
-        .select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.aligned")
+        .select(
+            "doc_id", "item_id", "best.n_items", "best.n_windows", "best.item_windows", "best.coverage", "best.aligned"
+        )
     )
 
 
