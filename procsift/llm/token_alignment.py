@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -14,11 +15,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.binary_packing import _ODD_SPACE, WORD_CHARS, default_pattern, default_vocabulary, encoder
+from procsift.llm.binary_packing import _ODD_SPACE, WORD_CHARS, WordEncoder, default_pattern, default_vocabulary
 from procsift.llm.common import stored, text_of
 
-#: A window of more tokens isn't remembered, and at most so many windows, and words, are.
-WINDOW_TOKENS, WINDOWS = 64, 250_000
+#: A window of more tokens isn't remembered. Of windows, and of words, so many are,
+#: and as many again of those met before them.
+WINDOW_TOKENS, REMEMBERED = 64, 150_000
 #: Texts are aligned in blocks of about so many characters.
 BLOCK_CHARS = 400_000
 #: Pairs whose counts go to every task, at most; the rest are joined.
@@ -42,11 +44,16 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return out
 
 
+class _Words(WordEncoder):
+    def _ids(self, text: str) -> bytes:
+        return array("I", self._encode(text)).tobytes()
+
+
 class Tokens:
     """Both tokenizers, with the bytes of their tokens, and what a worker remembers."""
 
     def __init__(self, vocabulary: str, pattern: str, pieces: str) -> None:
-        self.encode_a = encoder(vocabulary, pattern)
+        self.encode_a = _Words(vocabulary, pattern)
         with open(vocabulary, "rb") as file:
             ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
         a_bytes = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
@@ -58,6 +65,7 @@ class Tokens:
         names = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.by_word = not any(_MARK in name.lstrip(_MARK) for name in names)
         self._words: dict[str, bytes | None] = {}
+        self._before: dict[str, bytes | None] = {}
         self.memory = Memory(self)
 
     def _given_back(self, texts: list[str]) -> list[bytes | None]:
@@ -72,9 +80,9 @@ class Tokens:
     def encode_b(self, texts: list[str]) -> list[bytes | None]:
         """No piece goes on beyond a space before a word, so a text's ids are
         those of its words; words come back often and are remembered."""
-        known, out = self._words, [None] * len(texts)
-        if len(known) > WINDOWS:
-            known.clear()
+        if len(self._words) > REMEMBERED:
+            self._before, self._words = self._words, {}
+        known, before, out = self._words, self._before, [None] * len(texts)
         split: list[tuple[int, list[str]]] = []
         whole, missing = [], {}
         for i, text in enumerate(texts):
@@ -83,7 +91,12 @@ class Tokens:
                 continue
             words = text.split(" ")
             split.append((i, words))
-            missing.update((w, None) for w in words if w not in known)
+            for w in words:
+                if w not in known:
+                    if w in before:
+                        known[w] = before[w]
+                    else:
+                        missing[w] = None
         new = list(missing)
         fresh = dict(zip(new, self._given_back(new), strict=True))
         known.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_CHARS)
@@ -177,6 +190,7 @@ class Memory:
 
     tokens: Tokens
     known: dict[tuple[bytes, bytes], Window] = field(default_factory=dict)
+    before: dict[tuple[bytes, bytes], Window] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.a_sizes, self.b_sizes = self.tokens.a_sizes.tolist(), self.tokens.b_sizes.tolist()
@@ -200,17 +214,17 @@ class Memory:
         raw_a, raw_b, width = a.tobytes(), b.tobytes(), a.itemsize
         edges_a, edges_b = [*(cut_a * width).tolist(), len(raw_a)], [*(cut_b * width).tolist(), len(raw_b)]
         list_a, list_b = a.tolist(), b.tolist()
-        out, known, few = [], self.known, WINDOW_TOKENS * width
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        out, known, before, few = [], self.known, self.before, WINDOW_TOKENS * width
         for i, j, k, m in zip(edges_a, edges_a[1:], edges_b, edges_b[1:], strict=False):
             key = (raw_a[i:j], raw_b[k:m])
             found = known.get(key)
             if found is None:
                 if j - i + m - k <= few:
-                    found = align_few(
+                    found = before.get(key) or align_few(
                         list_a[i // width : j // width], list_b[k // width : m // width], self.a_sizes, self.b_sizes
                     )
-                    if len(known) >= WINDOWS:
-                        known.clear()
                     known[key] = found
                 else:
                     i, j, k, m = (x // width for x in (i, j, k, m))
@@ -286,30 +300,40 @@ def aligned(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokens(vocabulary, pattern, pieces)
         memory = both.memory
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in _blocks(texts):
-                found = [
-                    put_together(a, b, memory.windows(a, b) if len(a) else [])
-                    for a, b in both.encode(texts[start:end])
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, end - start),
-                        *[
-                            pa.array([getattr(f, n) for f in found], pa.int64())
-                            for n in ("n_a", "n_b", "n_groups", "n_links")
-                        ],
-                        pa.array([f.groups_sha256 for f in found], pa.string()),
-                        _lists([f.pairs for f in found], pa.int64()),
-                        _lists([f.times for f in found], pa.int32()),
-                    ],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
-                )
+        gc.disable()  # what is remembered has no cycles, and is much to look through
+        try:
+            yield from _aligned_batches(batches, both, memory)
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")).mapInArrow(run, _ALIGNED)
 
 
+def _aligned_batches(
+    batches: Iterator[pa.RecordBatch], both: Tokens, memory: Memory
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for start, end in _blocks(texts):
+            found = [
+                put_together(a, b, memory.windows(a, b) if len(a) else [])
+                for a, b in both.encode(texts[start:end])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(start, end - start),
+                    *[
+                        pa.array([getattr(f, n) for f in found], pa.int64())
+                        for n in ("n_a", "n_b", "n_groups", "n_links")
+                    ],
+                    pa.array([f.groups_sha256 for f in found], pa.string()),
+                    _lists([f.pairs for f in found], pa.int64()),
+                    _lists([f.times for f in found], pa.int32()),
+                ],
+                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
+            )
+
+
 def pair_counts(found: DataFrame) -> DataFrame:
     """(pair, n): how many documents hold each id pair linked."""
     return found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
