@@ -837,33 +837,23 @@ def job_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "anomaly_score", "risk_level", "flagged", "explanation")
 
 
-@query
-def job_gate_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate report's pattern counts."""
-    return _gate_job_report(spark, sf_dir)[1]["patterns"]
-
-
-@query
-def job_gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate report's metrics, against the labels that the feature job stored."""
-    return _rounded(_gate_job_report(spark, sf_dir)[1]["metrics"])
+def _listed(part: str, rows: DataFrame, name: Column, value: Column) -> DataFrame:
+    return rows.select(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("double").alias("value"))
 
 
 @query
-def job_gate_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gate_job_report(spark, sf_dir)[1]["confusion"]
-
-
-@query
-def job_gate_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top flagged events, read back from the job's CSV file."""
-    output = _gate_job(spark, sf_dir)
+def job_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate job's report in long form: pattern counts, metrics and confusion
+    against the labels that the feature job stored, and the top from its CSV file."""
+    output, report = _gate_job_report(spark, sf_dir)
+    metrics = report["metrics"].unpivot([], ["tp", "fp", "fn", "precision", "recall", "f1"], "name", "value")
+    confusion = report["confusion"].unpivot("is_attack", ["predicted_0", "predicted_1"], "guess", "n")
     top = spark.read.csv(f"{output}/top_flagged_gated.csv", header=True, escape='"')
-    return top.select(
-        F.col("event_id").cast("bigint").alias("event_id"),
-        F.col("anomaly_score").cast("double").alias("anomaly_score"),
-        "risk_level",
-        "explanation",
+    return _rounded(
+        _listed("patterns", report["patterns"], F.col("pattern"), F.col("hits"))
+        .unionAll(_listed("metrics", metrics, F.col("name"), F.col("value")))
+        .unionAll(_listed("confusion", confusion, F.concat_ws(" ", "is_attack", "guess"), F.col("n")))
+        .unionAll(_listed("top", top, F.concat_ws(" ", "event_id", "risk_level"), F.col("anomaly_score")))
     )
 
 
@@ -879,20 +869,15 @@ def job_top_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _eda(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    output = scratch_path(spark, "job-eda")
-    return jobs.feature_job(process_events(spark, sf_dir), output, importances=False)
-
-
-@query
-def job_eda_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The correlations of the feature job's report."""
-    return _rounded(_eda(spark, sf_dir)["correlation"])
-
-
 @query
-def job_eda_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_eda(spark, sf_dir)["histograms"])
+def job_eda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlations and histograms of the feature job's report, in long form."""
+    output = scratch_path(spark, "job-eda")
+    report = jobs.feature_job(process_events(spark, sf_dir), output, importances=False)
+    return _rounded(
+        _listed("correlation", report["correlation"], F.concat_ws(" ", "feature_a", "feature_b"), F.col("correlation"))
+        .unionAll(_listed("histogram", report["histograms"], F.concat_ws(" ", "feature", "bin"), F.col("n")))
+    )
 
 
 def _score_job(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
@@ -941,6 +926,24 @@ def job_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def job_gate_attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate job by its defaults after the score job: attributions on flagged
+    rows and no others, and a published snapshot with the forest."""
+    output, _ = _score_job(spark, sf_dir)
+    config = jobs.gate_job(spark, output)["config"].first()
+    rows = spark.read.parquet(f"{output}/scored_events_gated.parquet")
+    snapshot = load_snapshot(spark, f"{output}/snapshot")
+    has = F.contains("explanation", F.lit("Top features:"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("flagged") & ~has).alias("flagged_without"),
+        F.count_if(~F.col("flagged") & has).alias("others_with"),
+        (F.lit(config["shap_enabled"]) == (F.count_if("flagged") > 0)).alias("enabled_ok"),
+        F.lit(snapshot.forest is not None and snapshot.threshold == config["score_threshold"]).alias("snapshot_ok"),
+    )
+
+
 @query
 def importance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The importances come largest first, equal ones by name."""

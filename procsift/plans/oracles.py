@@ -709,7 +709,7 @@ _add(
     "stream_end_to_end",
     _sql(
         "feats gated",
-        """SELECT source, "timestamp", pid, ppid, command_line, pid_depth,
+        """SELECT source, gated."timestamp", pid, ppid, command_line, pid_depth,
   round(time_delta_parent, 6) + 0.0 AS time_delta_parent,
   round(feats.rare_parent_child, 6) + 0.0 AS rare_parent_child, risk_level, explanation
 FROM gated JOIN feats USING (event_id) WHERE flagged""",
@@ -727,11 +727,6 @@ for _name, _twin in {
     "job_labels": "heuristic_labels",
     "job_gate": "explanations",
     "stream_alerts_reloaded": "stream_alerts",
-    "job_gate_patterns": "pattern_sanity",
-    "job_gate_metrics": "gate_metrics",
-    "job_gate_confusion": "confusion_matrix",
-    "job_eda_correlation": "feature_correlation",
-    "job_eda_histograms": "feature_histograms",
 }.items():
     _add(_name, ORACLES[_twin])
 _add(
@@ -797,12 +792,20 @@ FROM prep""",
     ),
 )
 _add(
-    "job_gate_top",
-    _sql(
-        "gated",
-        """SELECT event_id, anomaly_score, risk_level, explanation FROM gated WHERE flagged
-ORDER BY anomaly_score, event_id LIMIT 20""",
-    ),
+    "job_gate_report",
+    f"""SELECT 'patterns' AS part, pattern AS name, CAST(hits AS DOUBLE) AS value FROM ({ORACLES["pattern_sanity"]})
+UNION ALL SELECT 'metrics', name, value FROM (UNPIVOT (
+  SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, precision, recall, f1
+  FROM ({ORACLES["gate_metrics"]})) ON tp, fp, fn, precision, recall, f1 INTO NAME name VALUE value)
+UNION ALL SELECT 'confusion', is_attack || ' predicted_' || k, CAST(CASE k WHEN 0 THEN predicted_0 ELSE predicted_1 END AS DOUBLE)
+FROM ({ORACLES["confusion_matrix"]}), (VALUES (0), (1)) t(k)
+UNION ALL SELECT 'top', event_id || ' ' || risk_level, round(anomaly_score, 6) FROM ({ORACLES["top_flagged"]})""",
+)
+_add(
+    "job_eda",
+    f"""SELECT 'correlation' AS part, feature_a || ' ' || feature_b AS name, correlation AS value
+FROM ({ORACLES["feature_correlation"]})
+UNION ALL SELECT 'histogram', feature || ' ' || bin, CAST(n AS DOUBLE) FROM ({ORACLES["feature_histograms"]})""",
 )
 _add(
     "job_top_csv",
@@ -836,3 +839,11 @@ _add(
 FROM (SELECT count(*) AS n FROM prep) WHERE n > 0""",
     ),
 )
+_add(
+    "job_gate_attributed",
+    _sql(
+        "prep",
+        """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS flagged_without, CAST(0 AS BIGINT) AS others_with,
+  true AS enabled_ok, true AS snapshot_ok FROM prep""",
+    ),
+)

@@ -77,8 +77,8 @@ def test_risk_levels(spark):
     assert counts == {"Critical": 2, "High": 3, "Medium": 5, "Low": 10, "Normal": 80}
     odd = gating.add_risk_level(scores(spark, [None, 0.0, float("nan")])).orderBy("event_id").collect()
     assert [r.risk_level for r in odd] == ["Normal", "Critical", "Normal"]
-    own = gating.add_risk_level(scores(spark, range(5)), quantiles={"Critical": 0.5, "Odd": 0.9})
-    assert [r.risk_level for r in own.orderBy("event_id").collect()] == ["Critical"] * 3 + ["Normal"] * 2
+    own = gating.add_risk_level(scores(spark, range(0, 33, 3)), quantiles={"Medium": 0.7, "Low": 0.4, "Spare": 0.1})
+    assert [r.risk_level for r in own.orderBy("event_id").collect()] == ["Medium"] * 8 + ["Normal"] * 3
     default = gating.add_risk_level(scores(spark, range(100)), quantiles={})
     assert default.where("risk_level = 'Low'").count() == 10
     ties = gating.add_risk_level(scores(spark, [0.1] * 50))
@@ -130,11 +130,13 @@ def test_gate_needs_score_and_indicator(spark, graded_rows):
 
 
 def test_merge_keeps_scored_columns(spark):
-    scored = spark.createDataFrame([(0, "2024-01-01", 0.1), (1, "x", 0.2)], "event_id bigint, timestamp string, anomaly_score double")
-    features = spark.createDataFrame([(0, "2024-06-01", 1)], "event_id bigint, timestamp string, suspicious_parent int")
-    rows = gating.merge_scored(scored, features).orderBy("event_id").collect()
-    assert rows[0].timestamp == "2024-01-01" and rows[0].suspicious_parent == 1
-    assert rows[1].suspicious_parent is None
+    rows = [(i, f"scored {i}", -i / 8) for i in (17, 23, 40)]
+    scored = spark.createDataFrame(rows, "event_id bigint, timestamp string, anomaly_score double")
+    rows = [(i, f"feature {i}", i % 2, i / 4) for i in (23, 40, 99)]
+    features = spark.createDataFrame(rows, "event_id bigint, timestamp string, long_cmd int, cmd_entropy double")
+    merged = {r.event_id: r for r in gating.merge_scored(scored, features).collect()}
+    assert {i: r.timestamp for i, r in merged.items()} == {i: f"scored {i}" for i in (17, 23, 40)}
+    assert {i: (r.long_cmd, r.cmd_entropy) for i, r in merged.items()} == {17: (None, None), 23: (1, 5.75), 40: (0, 10.0)}
 
 
 # --- explanations -------------------------------------------------------------
