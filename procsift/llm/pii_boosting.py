@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -48,6 +49,10 @@ OWN_CONTEXT = {"email": "about_mail", "ip": "about_host", "card": "about_card",
 MAX_SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 PRECISION, MIN_CALIBRATION = 0.95, 20
+#: Steps of the probability that thresholds are looked for in.
+STEPS = 10_000
+#: Up to so many proposals of a kind and label weigh one each.
+KIND_WEIGHT = MAX_SAMPLE // (2 * len(KINDS))
 _BLOCK = 256
 
 
@@ -388,11 +393,13 @@ def bounded_sample(rows: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     those of the smallest hash of text and span: the same on any layout, and no
     kind crowds out another. ``weight`` restores the labels' shares in a kind.
 
+    A look at what is learnt from; ``fit`` itself learns from all proposals.
+
     A large part is thinned by the hash first, to twice as many rows as are
     wanted, so that what meets in one task is bounded.
     """
     features = rows.where("label is not null")
-    sizes = {(r["kind"], r["label"]): r["count"] for r in features.groupBy("kind", "label").count().collect()}
+    sizes = _sizes(features)
     most = max_sample // (2 * len(KINDS))
     unit = 1 << 52
     bound, weight = F.lit(None).cast("bigint"), F.lit(None).cast("double")
@@ -407,40 +414,94 @@ def bounded_sample(rows: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     return thin.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth", "place").withColumn("weight", weight)
 
 
-def fit(rows: DataFrame, max_sample: int = MAX_SAMPLE) -> Detector:
-    """Boosted trees on the bounded sample, base spans in masked forms against
-    what fails; a quarter of the sample, by span, calibrates.
+def _sizes(labelled: DataFrame) -> dict[tuple[str, float], int]:
+    """Proposals of each kind and label."""
+    return {(r["kind"], r["label"]): r["count"] for r in labelled.groupBy("kind", "label").count().collect()}
 
-    A kind's threshold is the least probability from which on at least
-    PRECISION of the calibration proposals carry the label, by weight, of
-    MIN_CALIBRATION at least. A kind without one adds no spans. Without both
-    labels in the sample there are no trees.
-    """
-    sample = stored(with_features(masked(bounded_sample(rows, max_sample))), "pii-sample").withColumn(
-        "fold", F.pmod(F.xxhash64(*_KEYS, F.lit(5)), F.lit(4))
-    )
-    learn = sample.where("fold > 0")
-    if {r["label"] for r in learn.select("label").distinct().collect()} != {0.0, 1.0}:
-        return Detector(None, {})
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label", weightCol="weight").fit(
-        _assembler().transform(learn)
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """All labelled proposals, with a ``weight`` that keeps a hot kind from
+    crowding out another: as a whole a kind weighs as much as its proposals, of
+    each label at most KIND_WEIGHT; inside a kind all weigh the same."""
+    labelled = rows.where("label is not null")
+    sizes = _sizes(labelled)
+    weight = F.lit(None).cast("double")
+    for kind in KINDS:
+        parts = [sizes.get((kind, x), 0) for x in (0.0, 1.0)]
+        if sum(parts):
+            share = sum(min(KIND_WEIGHT, n) for n in parts) / sum(parts)
+            weight = F.when(F.col("kind") == kind, F.lit(share)).otherwise(weight)
+    return labelled.withColumn("weight", weight)
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """What is learnt from ``rows``, all of them: a row for each distinct vector
+    of features with its kind, label and ``fold``, the ``weight`` of all its
+    forms and their number ``n``. The halves ``fold`` go by text and span."""
+    folded = masked(weighted(rows)).withColumn("fold", F.pmod(F.xxhash64(*_KEYS, F.lit(5)), F.lit(2)))
+    return (
+        with_features(folded)
+        .groupBy("kind", "label", "fold", *FEATURES)
+        .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     )
+
+
+def _trees(learn: DataFrame) -> GBTClassificationModel | None:
+    """Boosted trees on weighted vectors; none without both labels.
+
+    Spark draws split points from as many rows as the square of the bins, or
+    10,000: with bins enough it looks at every vector.
+    """
+    sizes = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
+    if set(sizes) != {0.0, 1.0}:
+        return None
+    n = sum(sizes.values())
+    bins = math.isqrt(n) + 1 if n > 10_000 else 32
+    return GBTClassifier(
+        maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=1, labelCol="label", weightCol="weight"
+    ).fit(_assembler().transform(learn))
+
+
+def fit(rows: DataFrame) -> Detector:
+    """Boosted trees on all labelled proposals, base spans in masked forms
+    against what fails. Equal vectors of features go as one with their weight,
+    so what the trees pass over grows with the variety of the proposals only.
+
+    The thresholds come from all proposals too: each half, by span, is judged by
+    trees that learnt from the other. A kind's threshold is the least
+    probability, in steps of 1 / STEPS, from which on at least PRECISION of
+    the proposals carry the label, by weight, of MIN_CALIBRATION at least. A
+    kind without one adds no spans. Without both labels in both halves there
+    are no trees.
+    """
+    known = stored(vectors(rows), "pii-vectors")
+    judged = []
+    for fold in (0, 1):
+        half = _trees(known.where(F.col("fold") != fold))
+        if half is None:
+            return Detector(None, {})
+        judged.append(_probability(half, known.where(F.col("fold") == fold)))
+    step = F.floor(F.col("probability_of_pii") * STEPS)
     checked = (
-        _probability(trees, sample.where("fold = 0"))
-        .select("kind", "label", "weight", F.col("probability_of_pii").alias("p"))
-        .orderBy("kind", F.col("p").desc())
-        .collect()  # six forms for each of max_sample rows at most
+        judged[0]
+        .unionAll(judged[1])
+        .groupBy("kind", step.alias("step"))
+        .agg(
+            F.min("probability_of_pii").alias("p"),
+            F.sum("weight").alias("seen"),
+            F.sum(F.col("weight") * F.col("label")).alias("right"),
+            F.sum("n").alias("n"),
+        )
+        .collect()  # a row for each kind and step at most
     )
     thresholds = {}
     for kind in KINDS:
-        seen = right = 0.0
-        own = [(r["p"], r["label"], r["weight"]) for r in checked if r["kind"] == kind]
-        for i, (p, label, weight) in enumerate(own):
-            seen, right = seen + weight, right + weight * label
-            last = i + 1 == len(own) or own[i + 1][0] < p  # equal ones go together
-            if last and i + 1 >= MIN_CALIBRATION and right >= PRECISION * seen:
-                thresholds[kind] = p
-    return Detector(trees, thresholds)
+        n, seen, right = 0, 0.0, 0.0
+        for r in sorted((r for r in checked if r["kind"] == kind), key=lambda r: -r["step"]):
+            n, seen, right = n + r["n"], seen + r["seen"], right + r["right"]
+            if n >= MIN_CALIBRATION and right >= PRECISION * seen:
+                thresholds[kind] = r["p"]
+    return Detector(_trees(known), thresholds)
 
 
 def _outermost(spans: DataFrame) -> DataFrame:
@@ -454,7 +515,7 @@ def _outermost(spans: DataFrame) -> DataFrame:
     return spans.distinct().withColumn("reach", reach).where("reach is null or reach < end").drop("reach")
 
 
-def find(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) of every row, spans being (start, rank, kind, end)
     sorted by start, then kind, in code points with the end exclusive.
 
@@ -467,7 +528,7 @@ def find(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """
     found = proposals(docs)
     rows = candidate_rows(found)
-    more = _outermost(fit(rows, max_sample).accepted(with_features(rows)))
+    more = _outermost(fit(rows).accepted(with_features(rows)))
     rank = F.lit(None).cast("int")
     for i, kind in enumerate(KINDS):
         rank = F.when(F.col("kind") == kind, F.lit(i)).otherwise(rank)
