@@ -27,9 +27,11 @@ from procsift.operators.forest import Forest, average_path, matrix_of
 from procsift.schema import NOT_FLAGGED
 from procsift.session import dealt_out, store
 
-_ROWS = 256
+_ROWS = 512
+# Of a leaf with up to so many features the values of all combinations are held.
+_TABLE_BITS = 8
 # Flagged rows that one task explains.
-ROWS_PER_PART = 500
+ROWS_PER_PART = 2000
 
 
 def _leaf_tables(forest: Forest) -> list[dict[str, np.ndarray]]:
@@ -72,46 +74,101 @@ def _leaf_tables(forest: Forest) -> list[dict[str, np.ndarray]]:
     return result
 
 
-def _prepared(forest: Forest) -> list[dict[str, np.ndarray]]:
-    """Leaf tables with the quadrature constants that rows do not change."""
+def _prepared(forest: Forest) -> list[dict]:
+    """Per tree: the cuts of each feature, ``marks`` telling for each interval
+    between them which leaves' conditions on the feature hold, and the leaves
+    by the number of features on their path with the constants of the
+    quadrature.
+
+    Bit ``k`` of a leaf's mark stands for the ``k``-th feature on its path.
+    """
     prepared = []
     for t in _leaf_tables(forest):
-        leaves, slots = t["share"].shape
-        point, weight = np.polynomial.legendre.leggauss((slots + 1) // 2)
-        point, weight = (point + 1.0) / 2.0, weight / 2.0
-        z = t["share"][:, :, None]
-        met, unmet = (1.0 - point) * z + point, (1.0 - point) * z
-        scaled = t["value"][:, None, None] * weight
-        when_met, when_unmet = scaled * (1.0 - z) / met, -scaled * z / unmet
-        owner = np.zeros((leaves * slots, len(forest.features)))
-        owner[np.arange(leaves * slots), t["feature"].ravel()] = 1.0
-        prepared.append(
-            {
-                "feature": t["feature"],
-                "low": t["low"],
-                "high": t["high"],
-                "log_unmet": np.log(unmet).sum(axis=1),
-                "log_gain": np.log(met) - np.log(unmet),
-                "unmet": when_unmet.transpose(0, 2, 1).copy(),
-                "gain": (when_met - when_unmet).transpose(0, 2, 1).copy(),
-                "owner": owner,
-            }
-        )
+        real = (t["low"] > -np.inf) | (t["high"] < np.inf)
+        marks = []
+        for f in np.unique(t["feature"][real]):
+            own = real & (t["feature"] == f)
+            leaf, slot = np.nonzero(own)
+            low, high = t["low"][own], t["high"][own]
+            cuts = np.unique(np.concatenate([low, high]))
+            cuts = cuts[np.isfinite(cuts)]
+            # Interval i holds the values over cuts[i - 1] and up to cuts[i].
+            first = np.searchsorted(cuts, low, "right")
+            last = np.searchsorted(cuts, high, "left")
+            place = np.arange(len(cuts) + 1)[:, None]
+            mark = np.zeros((len(cuts) + 1, len(real)), dtype=np.int32)
+            mark[:, leaf] = ((place >= first) & (place <= last)).astype(np.int32) << slot.astype(np.int32)
+            marks.append((int(f), cuts, mark))
+        width = real.sum(axis=1)
+        groups = []
+        for k in np.unique(width[width > 0]):
+            leaves = np.flatnonzero(width == k)
+            point, weight = np.polynomial.legendre.leggauss((k + 1) // 2)
+            point, weight = (point + 1.0) / 2.0, weight / 2.0
+            z = t["share"][leaves, :k, None]
+            met, unmet = (1.0 - point) * z + point, (1.0 - point) * z
+            scaled = t["value"][leaves, None, None] * weight
+            when_met, when_unmet = scaled * (1.0 - z) / met, -scaled * z / unmet
+            groups.append(
+                {
+                    "leaves": leaves,
+                    "feature": t["feature"][leaves, :k],
+                    "log_unmet": np.log(unmet).sum(axis=1),
+                    "log_gain": np.log(met) - np.log(unmet),
+                    "unmet": when_unmet.transpose(0, 2, 1).copy(),
+                    "gain": (when_met - when_unmet).transpose(0, 2, 1).copy(),
+                }
+            )
+        prepared.append({"marks": marks, "leaves": len(real), "groups": groups})
     return prepared
 
 
-def _shapley(points: np.ndarray, prepared: list[dict[str, np.ndarray]]) -> np.ndarray:
+def _bits(marks: np.ndarray, k: int) -> np.ndarray:
+    return ((marks[..., None] >> np.arange(k)) & 1).astype(float)
+
+
+def _leaf_values(held: np.ndarray, group: dict) -> np.ndarray:
+    """What each leaf gives to its features, where ``held`` tells which of its
+    conditions are met."""
+    product = np.exp(np.matmul(held, group["log_gain"]) + group["log_unmet"][:, None, :])
+    return np.matmul(product, group["unmet"]) + held * np.matmul(product, group["gain"])
+
+
+def _wide(values: np.ndarray, group: dict, features: int) -> np.ndarray:
+    """Leaf values with a column for every feature."""
+    wide = np.zeros((*values.shape[:2], features))
+    wide[np.arange(len(values))[:, None], :, group["feature"]] = values.transpose(0, 2, 1)
+    return wide
+
+
+def _shapley(points: np.ndarray, prepared: list[dict]) -> np.ndarray:
+    """A leaf's values depend on a row only by which conditions it meets: they
+    are worked out once for every combination and looked up for the rows.
+
+    Leaves with more than _TABLE_BITS features are worked out row by row.
+    """
     total = np.zeros_like(points)
-    for start in range(0, len(points), _ROWS):
-        part = points[start : start + _ROWS]
-        for t in prepared:
-            values = part[:, t["feature"]]
-            held = (values > t["low"]) & (values <= t["high"])
-            held = held.transpose(1, 0, 2).astype(float)
-            product = np.exp(np.matmul(held, t["log_gain"]) + t["log_unmet"][:, None, :])
-            parts = np.matmul(product, t["unmet"]) + held * np.matmul(product, t["gain"])
-            flat = parts.transpose(1, 0, 2).reshape(len(part), -1)
-            total[start : start + _ROWS] += flat @ t["owner"]
+    features = points.shape[1]
+    for t in prepared:
+        looked_up, direct = [], []
+        for group in t["groups"]:
+            k = group["feature"].shape[1]
+            if k > _TABLE_BITS:
+                direct.append(group)
+                continue
+            table = _wide(_leaf_values(_bits(np.arange(2**k), k), group), group, features)
+            looked_up.extend(zip(group["leaves"].tolist(), table))
+        for start in range(0, len(points), _ROWS):
+            part, out = points[start : start + _ROWS], total[start : start + _ROWS]
+            marks = np.zeros((len(part), t["leaves"]), dtype=np.int32)
+            for f, cuts, mark in t["marks"]:
+                marks += mark.take(np.searchsorted(cuts, part[:, f], "left"), axis=0)
+            marks = marks.T.astype(np.intp)
+            for leaf, table in looked_up:
+                out += table.take(marks[leaf], axis=0)
+            for group in direct:
+                held = _bits(marks[group["leaves"]], group["feature"].shape[1])
+                out += _wide(_leaf_values(held, group), group, features).sum(axis=0)
     return total / len(prepared)
 
 
@@ -144,7 +201,7 @@ def append_attributions(
     The gated rows are stored once; nothing before this step runs twice. A
     Python function inside ``when`` would run on every row, so the flagged part
     of what was stored is explained on its own and united with the rest. Those
-    rows are few (under the gate's quantile) and take a millisecond or two
+    rows are few (under the gate's quantile) and take up to a millisecond
     each, so they are dealt out evenly. Without a model or the needed columns
     the frame comes back as it is.
     """
