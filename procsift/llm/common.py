@@ -56,6 +56,48 @@ def hash_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.orderBy(place, *keys).limit(most)
 
 
+#: Bits of the largest sieve, 16 MB in all, and of one of its blocks.
+MOST_SLOTS, BLOCK_SLOTS = 1 << 27, 1 << 15
+
+
+@dataclass(frozen=True)
+class Sieve:
+    """A bitmap of hashed ids in blocks of 4 KB: every id that went in passes,
+    and of others about one in seventeen, more where MOST_SLOTS are too few."""
+
+    blocks: DataFrame
+    slots: int
+
+    def parted(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``df`` that pass by the id in ``column``, and the others."""
+        block, bits, tested = (fresh(df, name) for name in ("_block", "_bits", "_passed"))
+        slot = _slot(F.col(column), self.slots)
+        position = F.bitmap_bit_position(slot)
+        byte = F.conv(F.hex(F.substring(F.col(bits), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+        passed = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+        blocks = self.blocks.select(F.col("block").alias(block), F.col("bits").alias(bits))
+        rows = df.join(F.broadcast(blocks), F.bitmap_bucket_number(slot) == F.col(block), "left").select(
+            *[df[c] for c in df.columns], passed.alias(tested)
+        )
+        return rows.where(tested).drop(tested), rows.where(~F.col(tested)).drop(tested)
+
+
+def _slot(column: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(column.cast("bigint"), F.lit(11)), F.lit(slots)) + 1
+
+
+def sieve(ids: DataFrame, column: str) -> Sieve:
+    """A sieve of the ids in ``column``, which are read twice: it keeps rows that
+    surely match none out of a join, and so out of its shuffle."""
+    blocks = -(-16 * ids.count() // BLOCK_SLOTS)
+    slots = min(MOST_SLOTS, BLOCK_SLOTS * max(1, blocks))
+    slot = _slot(F.col(column), slots)
+    found = ids.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+    )
+    return Sieve(stored(found, "sieve"), slots)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called that."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.common import components, fresh, stored, text_of
+from procsift.llm.common import components, fresh, sieve, stored, text_of
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -193,13 +193,15 @@ def smallest_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .select("doc_id"),
         "repeated-ids",
     )
-    apart = gone.unionAll(repeated).distinct().withColumnRenamed("doc_id", away)
-    single = docs.join(apart, docs["doc_id"] == F.col(away), "left_anti")
+    apart = stored(gone.unionAll(repeated).distinct().withColumnRenamed("doc_id", away), "away-ids")
+    # Rows that surely stay don't go through the join.
+    likely, surely = sieve(apart, away).parted(docs, "doc_id")
+    single = likely.join(apart, F.col("doc_id") == F.col(away), "left_anti").unionAll(surely)
     if repeated.isEmpty():
         return single
     again = repeated.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", away)
     several = (
-        docs.join(again, docs["doc_id"] == F.col(away), "left_semi")
+        likely.join(again, F.col("doc_id") == F.col(away), "left_semi")
         .groupBy("doc_id")
         .agg(F.min(F.struct(*docs.columns)).alias("row"))
         .select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.common import fresh, stored, text_of
+from procsift.llm.common import fresh, sieve, stored, text_of
 
 WINDOW = 8
 #: Shorter items have too few words to tell a leak from chance; a parameter
@@ -356,4 +356,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) ->
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     name = fresh(docs, "_hit")
     hit = contamination(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col(name), "left_anti")
+    hit = stored(hit, "hit-ids")
+    likely, surely = sieve(hit, name).parted(docs, "doc_id")
+    return likely.join(hit, F.col("doc_id") == F.col(name), "left_anti").unionAll(surely)
