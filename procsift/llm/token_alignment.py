@@ -6,21 +6,24 @@ import base64
 import gc
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procsift.llm.binary_packing import _ODD_SPACE, WORD_CHARS, WordEncoder, default_pattern, default_vocabulary
+from procsift.llm.binary_packing import WORD_CHARS, default_pattern, default_vocabulary
 from procsift.llm.common import stored, text_of
 
 #: A window of more tokens isn't remembered. Of windows, and of words, so many are,
 #: and as many again of those met before them.
 WINDOW_TOKENS, REMEMBERED = 64, 150_000
+#: Words that aren't known are encoded so many at a time.
+WORDS_AT_ONCE = 64
 #: Texts are aligned in blocks of about so many characters.
 BLOCK_CHARS = 400_000
 #: Pairs whose counts go to every task, at most; the rest are joined.
@@ -44,19 +47,18 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return out
 
 
-class _Words(WordEncoder):
-    def _ids(self, text: str) -> bytes:
-        return array("I", self._encode(text)).tobytes()
-
-
 class Tokens:
     """Both tokenizers, with the bytes of their tokens, and what a worker remembers."""
 
     def __init__(self, vocabulary: str, pattern: str, pieces: str) -> None:
-        self.encode_a = _Words(vocabulary, pattern)
         with open(vocabulary, "rb") as file:
-            ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
-        a_bytes = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self._encode_a = tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
+        a_bytes = [b""] * (max(ranks.values()) + 1)
+        for entry, i in ranks.items():
+            a_bytes[i] = entry
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = piece_bytes(self.model)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (a_bytes, self.b_bytes))
@@ -64,64 +66,93 @@ class Tokens:
         # A piece has its mark in front only, but for runs of spaces.
         names = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.by_word = not any(_MARK in name.lstrip(_MARK) for name in names)
-        self._words: dict[str, bytes | None] = {}
-        self._before: dict[str, bytes | None] = {}
+        self._words: dict[str, Word] = {}
+        self._before: dict[str, Word] = {}
         self.memory = Memory(self)
 
-    def _given_back(self, texts: list[str]) -> list[bytes | None]:
-        """B's ids of each text as little-endian unsigned 32-bit numbers, none
-        where the pieces' bytes aren't a space and the text."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both, or two empty lists where the tokens' bytes aren't the
+        text's. A's vocabulary has every byte, so A's always are."""
+        none = np.zeros(0, dtype=np.uint32)
         piece, out = self.b_bytes.__getitem__, []
         for text, ids in zip(texts, self.model.encode(texts, num_threads=1) if texts else [], strict=True):
-            same = b"".join(map(piece, ids)) == f" {text}".encode()
-            out.append(array("I", ids).tobytes() if same else None)
+            spaced = f" {text}"
+            if text and b"".join(map(piece, ids)) == spaced.encode():
+                out.append((np.array(self._encode_a(spaced), dtype=np.uint32), np.array(ids, dtype=np.uint32)))
+            else:
+                out.append((none, none))
         return out
 
-    def encode_b(self, texts: list[str]) -> list[bytes | None]:
-        """No piece goes on beyond a space before a word, so a text's ids are
-        those of its words; words come back often and are remembered."""
+    def aligned(self, texts: list[str]) -> list[Aligned]:
+        """Texts as their windows put together.
+
+        No token of either side goes on beyond a space before a word, so such
+        spaces are anchors and a word's window is the same in every text; words
+        come back often and are remembered with theirs. A text with other spaces
+        or a word whose tokens don't give it back is encoded as a whole.
+        """
         if len(self._words) > REMEMBERED:
             self._before, self._words = self._words, {}
-        known, before, out = self._words, self._before, [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        whole, missing = [], {}
-        for i, text in enumerate(texts):
-            if not self.by_word or text[:1] == " " or _MARK in text or _ODD_SPACE.search(text):
-                whole.append(i)
-                continue
-            words = text.split(" ")
-            split.append((i, words))
-            for w in words:
-                if w not in known:
-                    if w in before:
-                        known[w] = before[w]
-                    else:
-                        missing[w] = None
-        new = list(missing)
-        fresh = dict(zip(new, self._given_back(new), strict=True))
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_CHARS)
-        for i, words in split:
-            found = [known[w] if w in known else fresh[w] for w in words]
-            out[i] = None if None in found else b"".join(found)
-        for i, ids in zip(whole, self._given_back([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        known, before = self._words, self._before
+        split, missing = [], {}
+        for text in texts:
+            words = text.split(" ") if text and self.by_word else []
+            found = list(map(known.get, words))
+            gaps = [i for i, word in enumerate(found) if word is None]
+            for i in gaps:
+                word = words[i]
+                held = before.get(word)
+                if held is None:
+                    missing[word] = None
+                else:
+                    known[word] = held
+            split.append((words, found, gaps))
+        fresh = self._learnt(list(missing))
+        known.update((word, held) for word, held in fresh.items() if len(word) <= WORD_CHARS)
+        out, whole = [], []
+        for number, (words, found, gaps) in enumerate(split):
+            for i in gaps:
+                found[i] = known.get(words[i]) or fresh[words[i]]
+            n_a, n_b, groups, numbers, links = zip(*found, strict=True) if found else ((), (), (), (0,), ())
+            if 0 in numbers:
+                whole.append(number)
+                out.append(_NOTHING)
+            else:
+                out.append(_joined(sum(n_a), sum(n_b), groups, numbers, links))
+        for number, (a, b) in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
+            out[number] = put_together(a, b, self.memory.windows(a, b) if len(a) else [])
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both, or two empty lists where the tokens' bytes aren't the
-        text's. A's vocabulary has every byte, so A's always are."""
-        none = np.zeros(0, dtype=np.uint32)
-        out = []
-        for text, b in zip(texts, self.encode_b(texts), strict=True):
-            if not text or b is None:
-                out.append((none, none))
-            else:
-                out.append(
-                    (np.frombuffer(self.encode_a(f" {text}"), dtype="<u4"), np.frombuffer(b, dtype="<u4"))
+    def _learnt(self, words: list[str]) -> dict[str, Word]:
+        """What is remembered of each word; many are encoded at a time."""
+        out = {word: _ODD for word in words if not word or word[0].isspace() or _MARK in word}
+        plain = [word for word in words if word not in out]
+        parts = [plain[i : i + WORDS_AT_ONCE] for i in range(0, len(plain), WORDS_AT_ONCE)]
+        alone = []
+        for part, (a, b) in zip(parts, self.encode([" ".join(part) for part in parts]), strict=True):
+            windows = self.memory.windows(a, b) if len(a) else []
+            sizes_a, sizes_b = _runs(self.a_marked[a]), _runs(self.b_marked[b])
+            if len(windows) == len(sizes_a) == len(sizes_b) == len(part):
+                out.update(
+                    (word, (i, j, *window))
+                    for word, i, j, window in zip(part, sizes_a, sizes_b, windows, strict=True)
                 )
+            else:
+                alone += part
+        for word, (a, b) in zip(alone, self.encode(alone), strict=True):
+            if len(a):
+                groups, numbers, links = zip(*self.memory.windows(a, b), strict=True)
+                out[word] = (len(a), len(b), ";".join(groups), sum(numbers), b"".join(links))
+            else:
+                out[word] = _ODD
         return out
 
 
+def _runs(marked: np.ndarray) -> list[int]:
+    """How many tokens there are from each marked one to the next."""
+    return np.diff(np.append(np.flatnonzero(marked), len(marked))).tolist()
+
+
 _tokens: dict[tuple[str, str, str], Tokens] = {}
 
 
@@ -136,6 +167,10 @@ def tokens(vocabulary: str, pattern: str, pieces: str) -> Tokens:
 #: The alignment of a run of tokens whose ends both tokenizers share: its groups
 #: as text, their number, and a * 2**32 + b of every link as 64-bit numbers.
 Window = tuple[str, int, bytes]
+#: What is remembered of a word: its numbers of A and B tokens, and its window.
+#: A text with an odd word, which has no group, isn't put together from words.
+Word = tuple[int, int, str, int, bytes]
+_ODD: Word = (0, 0, "", 0, b"")
 
 
 def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Window:
@@ -257,10 +292,14 @@ def put_together(a: np.ndarray, b: np.ndarray, windows: list[Window]) -> Aligned
     if not len(a):
         return _NOTHING
     groups, numbers, links = zip(*windows, strict=True)
+    return _joined(len(a), len(b), groups, numbers, links)
+
+
+def _joined(n_a: int, n_b: int, groups: Sequence[str], numbers: Sequence[int], links: Sequence[bytes]) -> Aligned:
     digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
     every = np.frombuffer(b"".join(links), dtype="<i8")
     pairs, times = np.unique(every, return_counts=True)
-    return Aligned(len(a), len(b), sum(numbers), len(every), digest, pairs, times)
+    return Aligned(n_a, n_b, sum(numbers), len(every), digest, pairs, times)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -299,26 +338,20 @@ def aligned(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokens(vocabulary, pattern, pieces)
-        memory = both.memory
         gc.disable()  # what is remembered has no cycles, and is much to look through
         try:
-            yield from _aligned_batches(batches, both, memory)
+            yield from _aligned_batches(batches, both)
         finally:
             gc.enable()
 
     return docs.select(F.col("doc_id").cast("bigint"), text_of(docs).alias("text")).mapInArrow(run, _ALIGNED)
 
 
-def _aligned_batches(
-    batches: Iterator[pa.RecordBatch], both: Tokens, memory: Memory
-) -> Iterator[pa.RecordBatch]:
+def _aligned_batches(batches: Iterator[pa.RecordBatch], both: Tokens) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for start, end in _blocks(texts):
-            found = [
-                put_together(a, b, memory.windows(a, b) if len(a) else [])
-                for a, b in both.encode(texts[start:end])
-            ]
+            found = both.aligned(texts[start:end])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, end - start),

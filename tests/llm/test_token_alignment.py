@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -165,3 +166,28 @@ def test_words_are_windows_of_their_own():
     found = memory.windows(a, b)
     assert len(found) == 8
     assert len(memory.known) < 8  # "the", "fox" and "and" come from memory
+
+
+WORDS = ["the", "fox", "Fox,", "one\ntwo", "é日", "x" * 60, "'s", "▁", "", "\n", "1234.", "\U0001f600'0", "ﬁ", "tab\t"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORDS), max_size=12).map(" ".join), max_size=4))
+def test_texts_put_together_from_words_equal_the_whole(texts):
+    both = ta.tokens(ta.default_vocabulary(), ta.default_pattern(), ta.default_pieces())
+    for text, got in zip(texts, both.aligned(texts), strict=True):
+        ((a, b),) = both.encode([text])
+        whole = ta.put_together(a, b, [ta.align(a, b, both.a_sizes, both.b_sizes)] if len(a) else [])
+        assert (got.n_a, got.n_b, got.groups_sha256) == (whole.n_a, whole.n_b, whole.groups_sha256)
+        assert (got.n_groups, got.n_links) == (whole.n_groups, whole.n_links)
+        assert got.pairs.tolist() == whole.pairs.tolist() and got.times.tolist() == whole.times.tolist()
+
+
+def test_a_word_is_cut_out_of_its_tokens_once(monkeypatch):
+    both = ta.Tokens(ta.default_vocabulary(), ta.default_pattern(), ta.default_pieces())
+    seen, real = [], ta.Memory.windows
+    monkeypatch.setattr(ta.Memory, "windows", lambda memory, a, b: seen.append(len(a) + len(b)) or real(memory, a, b))
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["the red fox " * 500 + "ran", "the fox ran", ""]})
+    rows = [r for found in ta._aligned_batches([texts], both) for r in found.to_pylist()]
+    assert [r["n_a"] for r in rows] == [1501, 3, 0]
+    assert sum(seen) < 20  # four words, however often they come
