@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ EMBEDDING, HIDDEN = 12, 16
 #: to score, windows grow, up to LONGEST_WINDOW.
 SCORE_LANES, SCORE_WINDOW, LONGEST_WINDOW = 512, 24, 1024
 TRAIN_LANES, TRAIN_WINDOW = 256, 12
+#: Probabilities are worked out for so many tokens at a time, which a cache can hold.
+BLOCK = 2048
 #: A gradient step has so many tokens behind it.
 STEP_TOKENS = TRAIN_LANES * TRAIN_WINDOW
 #: Training takes longer documents in parts of so many tokens, side by side.
@@ -111,7 +113,7 @@ def encode(text: bytes, lexicon: Lexicon) -> Encoded:
     words = text.lower().split()
     words.append(END)
     get = lexicon.index.get
-    places = np.array(list(map(get, words, repeat(-1))), dtype=np.int64)
+    places = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
     ids = places.copy()
     unknown = np.flatnonzero(places < 0)
     rare = [words[i] for i in unknown]
@@ -124,10 +126,53 @@ def encode(text: bytes, lexicon: Lexicon) -> Encoded:
     fixed = float(lexicon.log_count[places[tail]].sum())
     in_tail = ids[ids >= first_tail] - first_tail
     fixed -= float(lexicon.tail_log[in_tail].sum())
-    inputs = np.empty_like(ids)
-    inputs[0] = lexicon.start
-    inputs[1:] = ids[:-1]
-    return Encoded(inputs.astype(np.int32), ids.astype(np.int32), fixed, base, len(words), len(known), rare)
+    ids = ids.astype(np.int32)
+    return Encoded(_inputs(ids, lexicon.start), ids, fixed, base, len(words), len(known), rare)
+
+
+def _inputs(targets: np.ndarray, start: int) -> np.ndarray:
+    """What the network sees before each target."""
+    inputs = np.empty_like(targets)
+    inputs[0], inputs[1:] = start, targets[:-1]
+    return inputs
+
+
+def _again(ids: bytes) -> Encoded:
+    """A stored text, as far as the network needs it."""
+    targets = np.frombuffer(ids, dtype="<i2").astype(np.int32)
+    return Encoded(_inputs(targets, CLASSES * WIDTH + _SHAPES), targets, 0.0, 0.0, len(targets), 0, [])
+
+
+_ENCODED = (
+    "doc_id bigint, held_out boolean, ids binary, n_tokens bigint, n_known bigint, base double, fixed double, "
+    "rare array<binary>"
+)
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Every text (doc_id, held_out, text) as ids and what else its score needs,
+    so that each text is taken apart once for training and scoring. ``ids`` are
+    little-endian 16-bit numbers."""
+    known = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = ("n_tokens", "n_known", "base", "fixed", "rare")
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found = [encode(text.as_py(), known.value) for text in part.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array([f.targets.astype("<i2").tobytes() for f in found], pa.binary()),
+                        *[pa.array([getattr(f, n) for f in found], k) for n, k in zip(names, kinds, strict=True)],
+                    ],
+                    names=["doc_id", "held_out", "ids", *names],
+                )
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _ENCODED)
 
 
 Weights = dict[str, np.ndarray]
@@ -182,39 +227,72 @@ def first_weights(lexicon: Lexicon, seed: int = 7) -> Weights:
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|): as smooth as a hyperbolic tangent, and far cheaper."""
-    return x / (1 + np.abs(x))
+    """x / (1 + |x|): as smooth as a hyperbolic tangent, and far cheaper. Takes ``x``'s place."""
+    below = np.abs(x)
+    below += 1
+    return np.divide(x, below, out=x)
+
+
+def _slope(x: np.ndarray) -> np.ndarray:
+    """The slope of the squash where it gave ``x``."""
+    rest = np.abs(x)
+    np.subtract(1, rest, out=rest)
+    return np.square(rest, out=rest)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The last two axes swapped, in memory too."""
+    return np.ascontiguousarray(np.swapaxes(x, -1, -2))
 
 
 def _run_window(w: Weights, ids: np.ndarray, state: np.ndarray, keep: bool):
-    """States after each step of a window (T, B, H); what the way back needs if ``keep``."""
+    """States after each step of a window (T, B, H); what the way back needs if ``keep``.
+
+    Inside, a step has its lanes side by side in memory (H, B): gates are then
+    whole rows, and what is done with them runs over long stretches.
+    """
     steps, lanes = ids.shape
     both = 2 * HIDDEN
-    inputs = (w["emb"] @ w["wx"] + w["bx"])[ids]
-    states = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
+    table = _turned(w["emb"] @ w["wx"] + w["bx"])
+    states = np.empty((steps, HIDDEN, lanes), dtype=np.float32)
     memory = []
+    into, shift, state = w["wh"].T, w["bn"][:, None], _turned(state)
     for t in range(steps):
-        recur = state @ w["wh"]
-        signs = _squash(inputs[t, :, :both] + recur[:, :both])
-        gates = 0.5 + 0.5 * signs
-        update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        inner = recur[:, both:] + w["bn"]
-        new = _squash(inputs[t, :, both:] + reset * inner)
-        before, state = state, new + update * (state - new)
+        recur, given = into @ state, np.take(table, ids[t], axis=1, mode="clip")
+        signs = _squash(given[:both] + recur[:both])
+        gates = 0.5 * signs
+        gates += 0.5
+        update, reset = gates[:HIDDEN], gates[HIDDEN:]
+        inner = recur[both:]
+        inner += shift
+        new = reset * inner
+        new += given[both:]
+        new = _squash(new)
+        before, state = state, state - new
+        state *= update
+        state += new
         states[t] = state
         if keep:
             memory.append((before, update, reset, inner, new, signs))
-    return states, memory
+    return _turned(states), memory
 
 
-def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exponents(x: np.ndarray, safe: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """exp of the rows, scaled where they are large, and the logs of their sums.
-    Adds to ``x`` in place."""
-    most = float(x.max()) if x.size else 0.0
-    if most > 60 or float(x.min(initial=0.0)) < -80:
-        x -= x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    return e, e.sum(axis=1)
+    Adds to ``x`` in place. Values that are ``safe`` need no look."""
+    if not safe:
+        most = float(x.max()) if x.size else 0.0
+        if most > 60 or float(x.min(initial=0.0)) < -80:
+            x -= x.max(axis=1, keepdims=True)
+    e = np.exp(x, out=x)
+    return e, e @ np.ones(e.shape[1], dtype=e.dtype)  # far faster than a sum of each row
+
+
+def _safe(weight: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state, whose parts lie between -1 and 1, can lead to a value
+    that _exponents would scale."""
+    most = np.abs(weight).sum(axis=-2)
+    return bool((bias + most).max() < 59 and (bias - most).min() > -79)
 
 
 def _groups(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,27 +303,38 @@ def _groups(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.where(inside, targets % WIDTH, -1)
 
 
-def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of the rows of each class that has words of the network's own."""
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The rows that have words of the network's own, class by class, and where
+    among them each class that has any lies."""
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    edges = np.append(0, np.cumsum(np.bincount(group, minlength=CLASSES)[:CLASSES])).tolist()
+    return order[: edges[-1]], [
+        (c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]
+    ]
 
 
 def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target's class and, for the network's
     own words, of the word in its class."""
     group, place = _groups(targets)
-    rows = np.arange(len(targets))
-    x = states @ w["wc"] + w["bc"]
-    e, total = _exponents(x)
-    out = np.log(e[rows, group] / total + _TINY)
-    for c, at in _by_class(group):
-        x = states[at] @ w["wo"][c] + w["bo"][c]
-        e, total = _exponents(x)
-        out[at] += np.log(e[rows[: len(at)], place[at]] / total + _TINY)
+    rows, safe = np.arange(len(targets)), _safe(w["wc"], w["bc"])
+    share = np.empty(len(targets), dtype=w["wc"].dtype)
+    for start in range(0, len(targets), BLOCK):
+        at = slice(start, start + BLOCK)
+        x = states[at] @ w["wc"]
+        x += w["bc"]
+        e, total = _exponents(x, safe)
+        share[at] = e[rows[: len(e)], group[at]] / total
+    out = np.log(share + _TINY)
+    order, classes = _by_class(group)
+    held, place, safe = states[order], place[order], _safe(w["wo"], w["bo"])
+    share = np.empty(len(order), dtype=out.dtype)
+    for c, at in classes:
+        x = held[at] @ w["wo"][c]
+        x += w["bo"][c]
+        e, total = _exponents(x, safe)
+        share[at] = e[rows[: len(e)], place[at]] / total
+    out[order] += np.log(share + _TINY)
     return out.astype(np.float64)
 
 
@@ -278,45 +367,63 @@ class Trainer:
         at = np.flatnonzero(valid.ravel())
         if not len(at):
             return states[-1]
-        hidden = states.reshape(-1, HIDDEN)[at]
+        hidden, rows = states.reshape(-1, HIDDEN)[at], np.arange(len(at))
         group, place = _groups(targets.ravel()[at])
-        error, total = _exponents(hidden @ w["wc"] + w["bc"])
+        error = hidden @ w["wc"]
+        error += w["bc"]
+        error, total = _exponents(error, _safe(w["wc"], w["bc"]))
         error /= total[:, None]
-        error[np.arange(len(at)), group] -= 1
+        error[rows, group] -= 1
         grads["wc"] += hidden.T @ error
-        grads["bc"] += error.sum(axis=0)
+        grads["bc"] += np.ones(len(at), dtype=error.dtype) @ error
         back = error @ w["wc"].T
-        for c, rows in _by_class(group):
-            error, total = _exponents(hidden[rows] @ w["wo"][c] + w["bo"][c])
+        order, classes = _by_class(group)
+        held, place, safe = hidden[order], place[order], _safe(w["wo"], w["bo"])
+        more = np.empty((len(order), HIDDEN), dtype=back.dtype)
+        for c, own in classes:
+            error = held[own] @ w["wo"][c]
+            error += w["bo"][c]
+            error, total = _exponents(error, safe)
             error /= total[:, None]
-            error[np.arange(len(rows)), place[rows]] -= 1
-            grads["wo"][c] += hidden[rows].T @ error
-            grads["bo"][c] += error.sum(axis=0)
-            back[rows] += error @ w["wo"][c].T
+            error[rows[: len(error)], place[own]] -= 1
+            grads["wo"][c] += held[own].T @ error
+            grads["bo"][c] += np.ones(len(error), dtype=error.dtype) @ error
+            np.matmul(error, w["wo"][c].T, out=more[own])
+        back[order] += more
         outer = np.zeros((steps * lanes, HIDDEN), dtype=np.float32)
         outer[at] = back
-        outer = outer.reshape(steps, lanes, HIDDEN)
-        inputs = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)
-        d_state = np.zeros((lanes, HIDDEN), dtype=np.float32)
+        outer = _turned(outer.reshape(steps, lanes, HIDDEN))
+        inputs = np.empty((steps, 3 * HIDDEN, lanes), dtype=np.float32)
+        inners = np.empty((steps, HIDDEN, lanes), dtype=w["wh"].dtype)
+        recur = np.empty((3 * HIDDEN, lanes), dtype=w["wh"].dtype)
+        d_state = np.zeros((HIDDEN, lanes), dtype=np.float32)
         for t in reversed(range(steps)):
             before, update, reset, inner, new, signs = memory[t]
             d_state = d_state + outer[t]
-            d_new = d_state * (1 - update) * (1 - np.abs(new)) ** 2  # the slope of the squash
-            d_inner = d_new * reset
-            d_gates = np.concatenate([d_state * (before - new), d_new * inner], axis=1)
-            d_gates *= 0.5 * (1 - np.abs(signs)) ** 2
-            recur = np.concatenate([d_gates, d_inner], axis=1)
-            inputs[t, :, : 2 * HIDDEN], inputs[t, :, 2 * HIDDEN :] = recur[:, : 2 * HIDDEN], d_new
-            grads["wh"] += before.T @ recur
-            grads["bn"] += d_inner.sum(axis=0)
-            d_state = d_state * update + recur @ w["wh"].T
-        inputs = inputs.reshape(-1, 3 * HIDDEN)
+            d_new = 1 - update
+            d_new *= d_state
+            d_new *= _slope(new)
+            d_gates, d_inner = recur[: 2 * HIDDEN], recur[2 * HIDDEN :]
+            np.multiply(d_new, reset, out=d_inner)
+            np.subtract(before, new, out=d_gates[:HIDDEN])
+            d_gates[:HIDDEN] *= d_state
+            np.multiply(d_new, inner, out=d_gates[HIDDEN:])
+            slope = _slope(signs)
+            slope *= 0.5
+            d_gates *= slope
+            inputs[t, : 2 * HIDDEN], inputs[t, 2 * HIDDEN :] = d_gates, d_new
+            inners[t] = d_inner
+            grads["wh"] += before @ recur.T
+            d_state *= update
+            d_state += w["wh"] @ recur
+        grads["bn"] += (inners @ np.ones(lanes, dtype=inners.dtype)).sum(axis=0)
+        inputs = _turned(inputs).reshape(-1, 3 * HIDDEN)
         embedded = w["emb"][ids].reshape(-1, EMBEDDING)
         grads["wx"] += embedded.T @ inputs
-        grads["bx"] += inputs.sum(axis=0)
-        into, rows = inputs @ w["wx"].T, len(w["emb"])
+        grads["bx"] += np.ones(len(inputs), dtype=inputs.dtype) @ inputs
+        into, rows, flat_ids = _turned(inputs @ w["wx"].T), len(w["emb"]), ids.ravel().astype(np.intp)
         for k in range(EMBEDDING):  # far faster than adding row by row
-            grads["emb"][:, k] += np.bincount(ids.ravel(), into[:, k], minlength=rows)
+            grads["emb"][:, k] += np.bincount(flat_ids, into[k], minlength=rows)
         self.tokens += len(at)
         if self.tokens >= STEP_TOKENS:
             self.step()
@@ -352,51 +459,58 @@ class Lanes:
     ) -> None:
         self.window, self.documents = window, documents
         self.full, self.longest = lanes * window, longest or window
-        self.held: list[list] = []  # [key, document, place, log probability]
+        self.held: list[tuple[object, Encoded]] = []
+        # All held documents' targets, and each lane's place and end there, the
+        # token before that place and its log probability so far.
+        self.tokens, self.before = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.place, self.end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.log = np.zeros(0)
         self.state = np.zeros((0, HIDDEN), dtype=np.float32)
         self.most = lanes
 
     def fill(self) -> bool:
-        fresh = 0
-        while len(self.held) < self.most:
-            item = next(self.documents, None)
-            if item is None:
-                break
-            self.held.append([item[0], item[1], 0, 0.0])
-            fresh += 1
+        fresh = list(islice(self.documents, self.most - len(self.held)))
         if fresh:
-            self.state = np.concatenate([self.state, np.zeros((fresh, HIDDEN), dtype=np.float32)])
+            if len(self.tokens) > 2 * int((self.end - self.place).sum()):  # most of it is done with
+                left = [self.tokens[a:b] for a, b in zip(self.place.tolist(), self.end.tolist(), strict=True)]
+                self.tokens, sizes = np.concatenate([self.tokens[:0], *left]), self.end - self.place
+                self.end = np.cumsum(sizes)
+                self.place = self.end - sizes
+            ends = len(self.tokens) + np.cumsum([len(d.targets) for _, d in fresh])
+            starts = np.append(len(self.tokens), ends[:-1])
+            self.tokens = np.concatenate([self.tokens, *(d.targets for _, d in fresh)])
+            self.place, self.end = np.append(self.place, starts), np.append(self.end, ends)
+            self.before = np.append(self.before, np.array([d.inputs[0] for _, d in fresh], dtype=np.int32))
+            self.log = np.append(self.log, np.zeros(len(fresh)))
+            self.held += fresh
+            self.state = np.concatenate([self.state, np.zeros((len(fresh), HIDDEN), dtype=np.float32)])
         if len(self.held) < self.most:  # the last documents: as many tokens in fewer, longer windows
             self.window = max(self.window, min(self.longest, self.full // max(1, len(self.held))))
         return bool(self.held)
 
     def slices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """inputs, targets and what of them is real, each (T, B)."""
-        lanes = len(self.held)
-        inputs = np.zeros((lanes, self.window), dtype=np.int32)
-        targets = np.zeros((lanes, self.window), dtype=np.int32)
-        sizes = np.empty(lanes, dtype=np.int64)
-        for lane, (_, document, place, _) in enumerate(self.held):
-            part = document.targets[place : place + self.window]
-            sizes[lane] = len(part)
-            targets[lane, : len(part)] = part
-            inputs[lane, : len(part)] = document.inputs[place : place + self.window]
-        valid = np.arange(self.window)[:, None] < sizes[None, :]
-        return inputs.T, targets.T, valid
+        at = np.arange(self.window)[:, None] + self.place
+        valid = at < self.end
+        targets = np.where(valid, self.tokens.take(at, mode="clip"), 0)
+        # Every input but a document's first is the target before it.
+        inputs = np.concatenate([self.before[None], targets[:-1]])
+        self.before = targets[-1]
+        return inputs, targets, valid
 
     def advance(self, state: np.ndarray, gained: np.ndarray | None = None) -> Iterator[tuple[object, Encoded, float]]:
         """Move on by a window; gives the documents that ended, and their lanes free."""
-        stay = []
-        for lane, item in enumerate(self.held):
-            item[2] += self.window
-            if gained is not None:
-                item[3] += float(gained[lane])
-            if item[2] < len(item[1].targets):
-                stay.append(lane)
-            else:
-                yield item[0], item[1], item[3]
-        self.state = state[stay]
-        self.held = [self.held[lane] for lane in stay]
+        self.place = self.place + self.window
+        if gained is not None:
+            self.log = self.log + gained
+        stay = self.place < self.end
+        over, log = [self.held[lane] for lane in np.flatnonzero(~stay)], self.log[~stay].tolist()
+        if over:
+            self.place, self.end, self.log, self.before = (x[stay] for x in (self.place, self.end, self.log, self.before))
+            self.held, state = [self.held[lane] for lane in np.flatnonzero(stay)], state[stay]
+        self.state = state
+        for (key, document), value in zip(over, log, strict=True):
+            yield key, document, value
 
 
 def score_documents(w: Weights, documents: Iterator[tuple[object, Encoded]]) -> Iterator[tuple[object, Encoded, float]]:
@@ -536,29 +650,31 @@ def build_lexicon(counts: DataFrame, frequent: int = FREQUENT_WORDS) -> tuple[Le
 
 
 def rounds_of(docs: DataFrame) -> DataFrame:
-    """(round, text) of every row, the round being below ROUNDS."""
+    """(round, text or ids) of every row, the round being below ROUNDS."""
     number = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)).cast("int")
-    return docs.select(number.alias("round"), "text")
+    return docs.select(number.alias("round"), "ids" if "ids" in docs.columns else "text")
 
 
 def train(docs: DataFrame, lexicon: Lexicon) -> Weights:
     """The network's weights, learnt by all tasks together.
 
-    ``docs`` (doc_id, text) are the training documents. All take part, each
-    once, in ROUNDS parts by hash. In each round every task starts from the common weights and
+    ``docs`` are the training documents, (doc_id, ids) as stored by ``encoded``
+    or (doc_id, text). All take part, each once, in ROUNDS parts by hash. In each round every task starts from the common weights and
     makes one pass over its documents; Spark then averages the weights, by
     tokens. Only one set of weights at a time reaches the driver.
     """
     spark = docs.sparkSession
     weights = first_weights(lexicon)
     known = spark.sparkContext.broadcast(lexicon)
-    dealt = rounds_of(docs)
+    dealt, ready = rounds_of(docs), "ids" in docs.columns
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast(flat(weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             documents = (
-                (None, encode(text.as_py(), known.value)) for batch in batches for text in batch.column(0)
+                (None, _again(x.as_py()) if ready else encode(x.as_py(), known.value))
+                for batch in batches
+                for x in batch.column(0)
             )
             found, tokens = train_documents(unflat(shared.value), documents)
             if tokens:
@@ -570,7 +686,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Weights:
 
         parts = (
             dealt.where(F.col("round") == number)
-            .select("text")
+            .drop("round")
             .mapInArrow(run, "tokens bigint, moved array<double>")
         )
         mean = (
@@ -611,55 +727,47 @@ def scored(docs: DataFrame, frequent: int = FREQUENT_WORDS) -> DataFrame:
     )
     counts = stored(word_counts(base.where(~F.col("held_out"))), "word-counts")
     lexicon, least = build_lexicon(counts, frequent)
-    weights = train(base.where(~F.col("held_out")).select("doc_id", "text"), lexicon)
-    known = spark.sparkContext.broadcast(lexicon)
+    texts = stored(encoded(base, lexicon).withColumn("row", F.monotonically_increasing_id()), "lm-ids")
+    weights = train(texts.where(~F.col("held_out")).select("doc_id", "ids"), lexicon)
     learnt = spark.sparkContext.broadcast(weights)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "fixed", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def documents() -> Iterator[tuple[object, Encoded]]:
             for batch in batches:
-                ids, outs, texts = batch.column(0), batch.column(1), batch.column(2)
-                for i in range(len(texts)):
-                    yield (
-                        (ids[i].as_py(), outs[i].as_py()),
-                        encode(texts[i].as_py(), known.value),
-                    )
+                ids, kept = batch.column(len(names)), [c.to_pylist() for c in batch.columns[:-1]]
+                for i, key in enumerate(zip(*kept, strict=True)):
+                    yield key, _again(ids[i].as_py())
 
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
             kinds = (
-                pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())
+                pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()
             )
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"]
+            columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*names[:5], "model", "row"]
             )
 
-        held = 0
-        for (doc_id, out), document, log in score_documents(learnt.value, documents()):
-            model = log / np.log(10) + document.fixed
-            rows.append((doc_id, out, document.n_tokens, document.n_known, document.base, model, document.rare))
-            held += len(document.rare)
-            if len(rows) >= 1000 or held >= 100_000:
+        for (*kept, fixed, row), _, log in score_documents(learnt.value, documents()):
+            rows.append((*kept, log / np.log(10) + fixed, row))
+            if len(rows) >= 1000:
                 yield flush()
                 rows.clear()
-                held = 0
         if rows:
             yield flush()
 
     found = stored(
-        base.mapInArrow(
+        texts.select(*names, "ids").mapInArrow(
             run,
-            "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, "
-            "rare array<binary>",
-        ).withColumn("row", F.monotonically_increasing_id()),
+            "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, row bigint",
+        ),
         "lm-scores",
     )
     step = F.floor(F.log2("c") * 8).cast("int")
     rare = (
-        found.select("row", F.explode("rare").alias("word"))
+        texts.select("row", F.explode("rare").alias("word"))
         .join(counts.where(step < least), "word")
         .groupBy("row")
         .agg(F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
