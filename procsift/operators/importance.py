@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -46,10 +47,16 @@ def rf_importance(
     rows = counts["positive"] + counts["negative"]
     matrix = dealt_out(matrix, rows, ROWS_PER_PART, *(key or matrix.columns))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(matrix)
-    model = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
-    ).fit(vectors.select("features", "label"))
-    weights = model.featureImportances.toArray().tolist()
+    # The fit reads its input in several jobs: dealt out and sorted for the first
+    # of them only, and on disk, as the forest's own copy of it takes the memory.
+    vectors = vectors.select("features", "label").persist(StorageLevel.DISK_ONLY)
+    try:
+        model = RandomForestClassifier(
+            numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
+        ).fit(vectors)
+        weights = model.featureImportances.toArray().tolist()
+    finally:
+        vectors.unpersist()
     return spark.createDataFrame(list(zip(names, weights)), SHAPE).orderBy(
         F.desc("importance"), "feature"
     )

@@ -233,6 +233,20 @@ def test_importances_do_not_depend_on_the_layout(spark):
     assert found[0] == found[1] == found[2] and found[0][0]["feature"] == "a"
 
 
+def test_importances_read_their_rows_once_for_the_fit(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    rows = [(i, float(i % 5), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id bigint, a double, is_attack int")
+    got = importance.rf_importance(df.withColumn("a", counted("a")), ["a"], trees=3, depth=3).collect()
+    assert [r.feature for r in got] == ["a"] and seen.value == len(rows)
+
+
 def test_too_large_a_forest_is_refused_before_the_fit(spark):
     with pytest.raises(ValueError, match="nodes"):
         forest.fit_and_score(None, trees=100_000, max_samples=4096)
