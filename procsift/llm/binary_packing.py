@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procsift.llm.common import stored, text_of
+from procsift.llm.common import slices, stored, text_of
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -120,7 +120,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts, owner, starts, lengths, totals, ids = batch.column(1), [], [], [], [], []
             for row in range(len(texts)):
                 data = encode(texts[row].as_py()) + end
