@@ -30,10 +30,12 @@ UNITS = (
     "hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|"
     "dollars|dollar|cents|cent|euros|euro|pounds|pound|percent|degrees|mph|kph|kwh|gb|mb"
 )
-NUMBERS = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: The groups here and in NAMES are possessive: others take a call for each round, so
+#: a run of some thousands is more than a task's stack holds, and its executor dies.
+NUMBERS = r"[0-9]+(?:[.,:/][0-9]+)*+"
 UNIT_AFTER = rf"{NUMBER} +((?i:{UNITS}))($|[^\p{{L}}\p{{N}}])"
 #: Capitalised words that don't begin a sentence; several in a row are one name.
-NAMES = r"(?<=[\p{L}\p{N},;])(?: \p{Lu}\p{Ll}+)+"
+NAMES = r"(?<=[\p{L}\p{N},;])(?: \p{Lu}\p{Ll}+)++"
 #: What stands between words once they are lower-cased: ASCII but for letters
 #: and digits, Latin-1 signs, general and CJK punctuation.
 BETWEEN = r"[\x00-/:-`{-\u00bf\u2000-\u206f\u3000-\u303f]+"
