@@ -121,9 +121,11 @@ def links(
     sizes = entry.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     crowded = stored(sizes.where(F.col("n") > bucket_limit).select("part", "value"), "crowded")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
+    # Spark sizes both sides as the table they are exploded from, and would broadcast
+    # the probes, 34 of each fingerprint, where that table fits.
     cold = (
         entry.join(crowded, ["part", "value"], "left_anti")
-        .join(probe, ["part", "value"])
+        .join(probe.hint("merge"), ["part", "value"])
         .where((F.col("other") > F.col("fp")) & near)
         .select(F.col("other").alias("a"), F.col("fp").alias("b"))
         .distinct()
