@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from procsift.llm import near_copies
+from procsift.llm import near_copies, simhash_index
 
 
 def grams(text):
@@ -107,3 +107,33 @@ def test_stage_removes_copies_with_changed_words(spark):
     near = {i for i in rows if i and alike(sets[0], sets[i])}
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert near and 0 in kept and not kept & near
+
+
+def test_stage_removes_what_the_simhash_index_links(spark):
+    """Long texts of few words: their fingerprints are near where their shingles aren't. The
+    ids that both kinds of links lead to are one group; a repeated id joins no groups."""
+    rng = random.Random(8)
+    common = " ".join(["red green blue"] * 300)
+    tails = [" ".join(rng.choice("abcdefgh") * 4 + str(rng.randrange(99)) for _ in range(40)) for _ in range(5)]
+    rows = [(3, f"{common} {tails[0]}"), (9, f"{common} {tails[1]}"), (2, f"{common} {tails[1]} more"), (7, tails[2]), (5, tails[3])]
+    rows += [(20, f"{common} {tails[4]}"), (20, tails[2] + " end"), (None, tails[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [simhash_index.fingerprint(t.encode()) for _, t in rows[:3]]
+    assert max((a ^ b).bit_count() for a, b in combinations(fps, 2)) <= 2
+    assert not alike(grams(rows[0][1]), grams(rows[1][1])) and alike(grams(rows[1][1]), grams(rows[2][1]))
+    apart = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect() if r["doc_id"] in (2, 3, 9)}
+    assert apart == {2: 2, 3: 3, 9: 2}
+    got = {(r["doc_id"], r["component_id"]) for r in near_copies.near_copies(docs, fingerprints=True).collect()}
+    assert got == {(2, 2), (3, 2), (9, 2), (7, 7), (5, 5), (20, 2), (20, 7), (None, None)}
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(map(str, kept)) == ["2", "5", "7", "None"]
+
+
+def test_bands_miss_next_to_none_at_the_similarity():
+    draw, missed = np.random.default_rng(6), 0
+    for _ in range(3000):
+        both = draw.integers(0, 1 << 63, 160, dtype=np.uint64)
+        own = draw.integers(0, 1 << 63, (2, 20), dtype=np.uint64)
+        one, other = (near_copies.bands(np.sort(np.concatenate([both, x]))) for x in own)
+        missed += not set(one) & set(other)
+    assert missed == 0
